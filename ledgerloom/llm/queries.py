@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, inner_product, language, mixing, ogg, ring, simhash, suffix_tree
+from ledgerloom.llm import bpe, credentials, inner_product, language, mixing, ogg, personal, ring, simhash, suffix_tree
 from ledgerloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,8 +46,16 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.detect(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    named = (op1_simhash, op2_suffix_tree, op3_ogg, op4_inner_product, op5_mixing, op6_ring, op7_bpe, op8_language)
+    named = (op1_simhash, op2_suffix_tree, op3_ogg, op4_inner_product, op5_mixing, op6_ring, op7_bpe, op8_language, op9_credentials, op10_personal)
     return {q.__name__: q for q in named}
 
 
