@@ -195,8 +195,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit([r.text for r in picked], [r.lang for r in picked]) if picked else None
 
 
-def _labelled(docs: DataFrame, network: Network | None, text_col: str) -> DataFrame:
-    """docs with lang_pred and score behind its columns."""
+def labelled(docs: DataFrame, network: Network | None, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """docs with the predicted language and its score behind its columns, under names that docs doesn't have."""
     sent = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,10 +207,10 @@ def _labelled(docs: DataFrame, network: Network | None, text_col: str) -> DataFr
             for i in range(batch.num_rows):
                 size += len(texts[i].as_py() or "")
                 if size >= SIDE_BY_SIDE * WINDOW // 2 or i + 1 == batch.num_rows:
-                    yield labelled(network, batch.slice(done, i + 1 - done))
+                    yield answered(network, batch.slice(done, i + 1 - done))
                     done, size = i + 1, 0
 
-    def labelled(network: Network | None, part: pa.RecordBatch) -> pa.RecordBatch:
+    def answered(network: Network | None, part: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t or "" for t in part.column(at).to_pylist()]
         langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
         own = [i for i, t in enumerate(texts) if network and LETTER.search(t)]
@@ -220,8 +220,8 @@ def _labelled(docs: DataFrame, network: Network | None, text_col: str) -> DataFr
         return pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
 
     at = docs.columns.index(text_col)
-    names = [*docs.columns, "lang_pred", "score"]
-    schema = docs.select("*").schema.add("lang_pred", "string").add("score", "double")
+    names = [*docs.columns, lang_name, score_name]
+    schema = docs.select("*").schema.add(lang_name, "string").add(score_name, "double")
     return docs.mapInArrow(run, schema)
 
 
@@ -233,4 +233,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """
     network = train(docs, id_col, text_col, lang_col, divisor, held_out)
     split = docs.select(F.col(id_col).alias("doc_id"), (remainder(F.col(id_col), divisor) == held_out).alias("held_out"), F.col(text_col).alias("text"))
-    return _labelled(split, network, "text").select("doc_id", "held_out", "lang_pred", "score")
+    return labelled(split, network, "text").select("doc_id", "held_out", "lang_pred", "score")

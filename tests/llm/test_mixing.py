@@ -31,7 +31,7 @@ def test_fit_of_large_budgets():
 def test_mix(spark):
     rnd = random.Random(4)
     rows = [(i, rnd.choice(["b", "a", "hot", "hot", "hot", None, "tiny"][: 6 if i > 4 else 7]), " ".join(["w"] * rnd.randint(0, 40)), i) for i in range(900)]
-    rows += [(1000, "empty", "", 0), (1001, "empty", None, 0), (1002, None, "a\tb\nc", 0), (5, "a", "w w", 1), (5, "a", "w w", 1), (None, "b", "q", 0)]
+    rows += [(1000, "empty", "", 0), (1001, "empty", None, 0), (1002, None, "a\tb\nc", 0), (2000, "a", "w w", 1), (2000, "a", "w w", 1), (None, "b", "q", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string, size long")
     got = mixing.mix(docs).toPandas()
     assert len(got) == len(rows)
