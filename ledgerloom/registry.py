@@ -1,35 +1,46 @@
-"""Names of the library's own queries, each with its DataFrame form and its SQL statement."""
+"""Names of the library's own queries, each with its DataFrame form and, where SQL can state its rows, the statement."""
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ledgerloom.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function of (spark, sf_dir) under its name."""
+
+    def add(f: Query) -> Query:
+        key = name or f.__name__
+        if key in _QUERIES:
+            raise ValueError(f"two queries are named {key}")
+        _QUERIES[key] = f
+        if sql:
+            _SQL[key] = sql
+        return f
+
+    return add
 
-def monthly_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order totals and counts by month; months without an amount count as zero."""
-    orders = table(spark, sf_dir, "orders")
-    return (
-        orders.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"))
-        .agg(F.round(F.coalesce(F.sum("o_totalprice"), F.lit(0.0)), 2).alias("total_amount"), F.count("*").alias("n_orders"))
-    )
 
+def _load() -> None:
+    from ledgerloom import queries as package
 
-MONTHLY_TOTALS = """
-SELECT strftime(o_orderdate, '%Y-%m') AS month, round(coalesce(sum(o_totalprice), 0), 2) AS total_amount, count(*) AS n_orders
-FROM orders GROUP BY 1
-"""
+    for module in pkgutil.iter_modules(package.__path__):
+        importlib.import_module(f"{package.__name__}.{module.name}")
 
 
 def queries() -> dict[str, Query]:
-    return {"monthly_totals": monthly_totals}
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"monthly_totals": MONTHLY_TOTALS}
+    _load()
+    return dict(_SQL)
