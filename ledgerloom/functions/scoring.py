@@ -101,7 +101,7 @@ def is_tabular(text: Column) -> Column:
     lines = F.split(F.trim(text), "\n")
     bars = F.size(F.filter(lines, lambda x: F.regexp_count(x, F.lit(r"\|")) >= 2))
     rules = F.size(F.filter(lines, lambda x: x.rlike(r"^[\s|:\-]+$")))
-    full = F.filter(F.transform(lines, F.trim), lambda x: x != "")
+    full = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")
     mean = F.aggregate(full, F.lit(0), lambda s, x: s + F.length(x)) / F.size(full)
     commas = F.transform(F.filter(F.slice(lines, 1, 10), lambda x: F.trim(x) != ""), lambda x: F.regexp_count(x, F.lit(",")).cast("double"))
     middle = F.aggregate(commas, F.lit(0.0), lambda s, x: s + x) / F.size(commas)
