@@ -191,9 +191,9 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
 #: The rows of top_k in SQL, over the table `embeddings`.
 TOP_K_SQL = """
 WITH fit AS (
-  SELECT vec_id, list_transform(embedding, c -> CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  SELECT vec_id, [CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT) for c in embedding] AS x FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-    AND len(list_filter(embedding, c -> c IS NULL OR isnan(c) OR isinf(c))) = 0
+    AND len([c for c in embedding if c IS NULL OR isnan(c) OR isinf(c)]) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(CAST(q.x AS DOUBLE[]), CAST(v.x AS DOUBLE[])) AS BIGINT) AS score
   FROM fit q JOIN fit v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0
