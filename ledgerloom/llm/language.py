@@ -18,6 +18,8 @@ HIDDEN = 8
 WINDOW = 128
 #: The network is fitted on an excerpt of at most EXCERPT characters from each of at most SAMPLE labelled documents.
 SAMPLE, EXCERPT = 3000, 1000
+#: The sample is picked among so many times its number of rows, on average, of the least hashes.
+ROOM = 4
 STEPS, BATCH, RATE, SEED = 500, 192, 0.02, 11
 #: Windows that are labelled at once.
 SIDE_BY_SIDE = 8192
@@ -184,13 +186,18 @@ def predict(network: Network, texts: list[bytes]) -> tuple[list[int], list[float
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", divisor: int = 4, held_out: int = 2, sample: int = SAMPLE) -> Network | None:
     """The network fitted on labelled rows outside the held-out ones; None without any.
 
-    The sample is the `sample` rows of the least id hashes; an excerpt of each comes to the driver, from a place in the text that its hash names.
+    The sample is the `sample` rows of the least id hashes, among the share of hashes that ROOM times as many labelled rows have on average; an excerpt of each comes
+    to the driver, from a place in the text that its hash names.
     """
     key = F.xxhash64(F.lit(SEED), id_col)
     labelled = docs.where((remainder(F.col(id_col), divisor) != held_out) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     start = (F.pmod(key, F.greatest(F.lit(1), F.length(text_col) - EXCERPT + 1)) + 1).cast("int")
     excerpt = F.col(text_col).substr(start, F.lit(EXCERPT))
     rows = labelled.select(key.alias("key"), F.col(lang_col).alias("lang"), excerpt.alias("text")).where(excerpt.rlike(r"\p{L}"))
+    many = docs.where(F.col(lang_col).isNotNull()).select(F.count("*")).first()[0]
+    if many > ROOM * sample:  # else every task would send its own `sample` rows to the driver
+        span = round((1 << 64) * ROOM * sample / many)
+        rows = rows.where(F.col("key") < F.lit(span - (1 << 63)))
     picked = rows.orderBy("key", "text").limit(sample).collect()
     return fit([r.text for r in picked], [r.lang for r in picked]) if picked else None
 
