@@ -6,7 +6,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 SMALL, LARGE, TARGET = 256, 1536, 1024
 LOOP_LINES, LOOP_PREFIX = 20, 10
 TABLE_ROWS = 20
+#: Parts of texts that a task hands on at once.
+PARTS = 4096
 # Where each strategy splits, and the words that speak for a domain.
 SPLITS = {
     "heading": r"(?m)^(?=#{1,6}\s)", "paragraph": r"\n\s*\n", "clause": r"(?m)^(?=\d+(?:\.\d+)*\.?\s+[A-Z])", "article": r"(?m)^(?=(?:ARTICLE|Article)\s+[IVXLC\d]+)",
@@ -112,13 +114,24 @@ def _mapped(documents: DataFrame, key: str, text: str, cut: Callable[[str], list
     kind = dict(documents.dtypes)[key]
     name = schema.split()[0]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, t in zip(batch[key], batch[text], strict=True):
-                parts = cut(t or "")
-                yield pd.DataFrame({key: [k] * len(parts), "chunk_index": range(len(parts)), name: parts})
-
-    return documents.select(key, text).mapInPandas(run, f"{key} {kind}, chunk_index int, {schema}")
+            keys, numbers, found = [], [], []
+            for k, t in zip(batch.column(0), batch.column(1), strict=True):
+                parts = cut(t.as_py() or "")
+                keys += [k] * len(parts)
+                numbers += range(len(parts))
+                found += parts
+                if len(found) >= PARTS:
+                    yield made(batch, keys, numbers, found)
+                    keys, numbers, found = [], [], []
+            yield made(batch, keys, numbers, found)
+
+    def made(batch: pa.RecordBatch, keys: list, numbers: list[int], found: list[str]) -> pa.RecordBatch:
+        columns = [pa.array([k.as_py() for k in keys], batch.schema.field(0).type), pa.array(numbers, pa.int32()), pa.array(found, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=[key, "chunk_index", name])
+
+    return documents.select(key, text).mapInArrow(run, f"{key} {kind}, chunk_index int, {schema}")
 
 
 def chunks(documents: DataFrame, key: str, text: str, strategy: str = "paragraph", **sizes) -> DataFrame:
