@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, names, numbers, scoring
+from ledgerloom.operators import entities, fields
 from ledgerloom.operators import text as T
 from ledgerloom.registry import query
 from ledgerloom.tables import table
@@ -77,3 +78,27 @@ def filtered_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A range over a field inside JSON; values that are no numbers are in none."""
     k = F.try_variant_get(F.try_parse_json("props"), "$.k", "int")
     return table(spark, sf_dir, "events").select("event_id", k.alias("k")).where("k BETWEEN 10 AND 20")
+
+
+@query("""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\\b[A-Z]\\d{2}(?:\\.\\d{1,2})?\\b')) AS icd_codes, len(regexp_extract_all(coalesce(text, ''), '(?i)\\b\\w+\\s+\\d+(?:\\.\\d+)?\\s*(?:mg|mcg|ml|units?|g)\\b')) AS medications,
+len(regexp_extract_all(coalesce(text, ''), '\\[[\\d,\\s\\-]+\\]|\\([A-Z][a-z]+(?:\\s+et\\s+al\\.?)?,?\\s*\\d{4}[a-z]?\\)')) AS citations, len(regexp_extract_all(coalesce(text, ''), '(?i)(?:Figure|Fig\\.?|Table)\\s+\\d+(?:\\.\\d+)?')) AS figures FROM documents""")
+def domain_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes, doses, citations and figures in every text."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.marks(F.col("text")).alias("m")).select("doc_id", "m.icd_codes", "m.medications", "m.citations", "m.figures")
+
+
+@query()
+def text_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Organizations and persons that the patterns find in every text, merged by normal form."""
+    return entities.merged("doc_id", entities.in_text(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+@query("""WITH v AS (SELECT unnest([{'field': 'l_orderkey', 'value': CAST(l_orderkey AS VARCHAR)}, {'field': 'l_quantity', 'value': CAST(l_quantity AS VARCHAR)}, {'field': 'l_returnflag', 'value': l_returnflag}, {'field': 'l_tax', 'value': CAST(l_tax AS VARCHAR)},
+{'field': 'l_shipdate', 'value': CAST(l_shipdate AS VARCHAR)}, {'field': 'l_linestatus', 'value': l_linestatus}], recursive := true) FROM lineitem),
+p AS (SELECT field, bool_and(try_cast(value AS DOUBLE) IS NOT NULL) AS numbers, count(DISTINCT value) < 0.5 * count(value) AS few FROM v GROUP BY field)
+SELECT field, CASE field WHEN 'l_tax' THEN 'amount' WHEN 'l_quantity' THEN 'quantity' WHEN 'l_shipdate' THEN 'date' WHEN 'l_linestatus' THEN 'status' ELSE CASE WHEN numbers THEN 'quantity' WHEN few THEN 'category' ELSE 'unknown' END END AS semantic_type,
+CASE field WHEN 'l_tax' THEN 'number' WHEN 'l_quantity' THEN 'number' WHEN 'l_shipdate' THEN 'datetime' WHEN 'l_linestatus' THEN 'string' ELSE CASE WHEN numbers THEN 'number' ELSE 'string' END END AS data_type FROM p""")
+def inferred_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What columns of line items mean, by their names or else by all their values."""
+    columns = ["l_orderkey", "l_quantity", "l_returnflag", "l_tax", "l_shipdate", "l_linestatus"]
+    return fields.inferred(fields.values(table(spark, sf_dir, "lineitem"), columns)).select("field", "semantic_type", "data_type")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, names, numbers, scoring
-from ledgerloom.operators import access, analytics, graph, queue, retrieval
+from ledgerloom.operators import access, analytics, entities, fields, graph, queue, retrieval
 from ledgerloom.operators import text as texts
 from ledgerloom.plans import phrases
 from ledgerloom.sources import files
@@ -179,3 +179,47 @@ def test_phrases():
     assert phrases.intent("what is the total per month")[0] == "analytics" and phrases.intent("hello")[0] == "general"
     assert phrases.retrieval_mode("relationship between A and B") == "global"
     assert phrases.fused(["total sales", "how many orders"]) == ("sum", "count")
+
+
+def test_fields_are_inferred_by_name_then_by_all_values(spark):
+    rows = spark.createDataFrame([("2025-01-05", 1.5, "a", "x1", "2025-01-05", None), ("2025-01-06", None, "a", "x2", "2024-02-01", None), ("", 2.0, "a", "x3", None, None)], "`Purchase Date` string, y double, z string, w string, d string, e string")
+    got = {r.field: (r.semantic_type, r.data_type, r.aggregation) for r in fields.inferred(fields.values(rows)).collect()}
+    assert got == {
+        "Purchase Date": ("date", "datetime", None), "y": ("quantity", "number", "sum"), "z": ("category", "string", "group_by"), "w": ("unknown", "string", None), "d": ("date", "datetime", None), "e": ("unknown", "string", None),
+    }
+    assert fields.inferred(fields.values(rows.where("false"))).count() == 0
+
+
+def test_canonical_names_and_clashes(spark):
+    rules = {"total": fields.Rule(("Total Sales",), ("amount",), ("tax",)), "tax": fields.Rule((), ("tax",))}
+    # Literals keep the order of their fields.
+    rows = spark.sql("SELECT map('TOTAL SALES', '1', 'Amount due', '2', 'tax amount', '3', 'other', '4') AS data UNION ALL SELECT NULL UNION ALL SELECT CAST(map() AS map<string, string>)")
+    assert values(rows.select(fields.renamed(F.col("data"), rules).alias("m")), "m") == [{"total": "1", "tax": "3", "other": "4"}, None, {}]
+
+
+def test_registry_seeds_and_three_tiers(spark):
+    shape = "schema_type string, domain string, is_active boolean, field_mappings string"
+    registry = spark.createDataFrame([("invoice", "money", True, "old"), ("receipt", "money", False, "r")], shape)
+    seeds = spark.createDataFrame([("invoice", "money", True, "new"), ("memo", None, True, None)], shape)
+    kept = lambda update: {r.schema_type: r.field_mappings for r in fields.seeded(registry, seeds, update).collect()}
+    assert kept(True) == {"invoice": "new", "receipt": "r", "memo": None} and kept(False)["invoice"] == "old"
+    documents = spark.createDataFrame([(1, "invoice", "own"), (2, "invoice", None), (3, "receipt", None), (4, None, None)], "document_id int, schema_type string, field_mappings string")
+    guessed = spark.createDataFrame([("receipt", "guess")], "schema_type string, field_mappings string")
+    got = {r.document_id: (r.field_mappings, r.mapping_source) for r in fields.mapped(documents, registry, guessed).collect()}
+    assert got == {1: ("own", "document"), 2: ("old", "registry"), 3: ("guess", "inferred"), 4: (None, None)}
+
+
+def test_entities_of_header_and_text(spark):
+    rows = spark.createDataFrame([(1, "From: Acme Inc.\nBill to: Jane Roe\nmail a@acme.com", {"vendor_name": " ACME Corp "}), (2, None, None), (3, "", {})], "id int, text string, header map<string,string>")
+    found = entities.merged("id", entities.in_header(rows, "id", "header"), entities.in_text(rows, "id", "text"))
+    got = {(r.id, r.kind, r.entity): (r.name, r.confidence, r.is_primary) for r in found.collect()}
+    assert got == {(1, "organization", "acme"): ("ACME Corp", 0.95, True), (1, "person", "jane roe"): ("Jane Roe", 0.7, True)}
+
+
+def test_domain_chunks_and_marks(spark):
+    assert texts.chunk("Allergies: none\nPlan: rest", texts.SPLITS["medical"], small=0) == ["Allergies: none", "Plan: rest"]
+    assert texts.chunk("# Abstract\nx\n1. Methods\ny", texts.SPLITS["academic"], small=0) == ["# Abstract\nx", "1. Methods\ny"]
+    assert texts.chunk("Lesson 1\na\nLesson 2\nb", texts.SPLITS["educational"], small=0) == ["Lesson 1\na", "Lesson 2\nb"]
+    rows = spark.createDataFrame([("E11.9 metformin 500 mg [1, 2] Fig. 3\nExercise 4",), (None,)], "text string")
+    one, none = (r.m.asDict() for r in rows.select(texts.marks(F.col("text")).alias("m")).collect())
+    assert (one["icd_codes"], one["medications"], one["citations"], one["figures"], one["exercises"]) == (1, 1, 1, 1, 1) and not any(none.values())
