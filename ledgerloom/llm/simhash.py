@@ -133,6 +133,8 @@ def _join_nodes(budget: int):
         keys = fp.view(np.uint64)
         order = np.lexsort((keys, prefix, mask))
         mask, prefix, keys, node = mask[order], prefix[order], keys[order], node[order]
+        once = np.concatenate(([True], (mask[1:] != mask[:-1]) | (prefix[1:] != prefix[:-1]) | (keys[1:] != keys[:-1])))  # rounds may enter one node
+        mask, prefix, keys, node = mask[once], prefix[once], keys[once], node[once]
         new = np.flatnonzero((mask[1:] != mask[:-1]) | (prefix[1:] != prefix[:-1])) + 1
         label = spanning(len(keys), *trie_pairs(keys, np.concatenate(([0], new, [len(keys)])), budget))
         moved = label != np.arange(len(label))
@@ -165,7 +167,7 @@ def near_edges(classes: DataFrame, budget: int = 2) -> DataFrame:
     classes has one row (id, fp) for each distinct fingerprint. A trie is entered once for each of budget + 1 parts of the bits,
     through the nodes that agree on this part, since no pair within the budget differs in all parts. Nodes of over NODE_ROWS
     fingerprints are entered again, by each part of their remaining bits, until no node is larger; every node is then joined
-    in one task. At most one edge for each fingerprint and node comes out.
+    in one task. Where several routes lead to one node, each of them brings all its fingerprints, and the repeats go. At most one edge for each fingerprint and node comes out.
     """
     nodes = _entered(classes, {None: split_bits(0, budget)})
     parts = []
@@ -180,7 +182,7 @@ def near_edges(classes: DataFrame, budget: int = 2) -> DataFrame:
         salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("large", F.lit(True))
         marked = durable(nodes.withColumn("salt", deal).join(salted, ["mask", "prefix", "salt"], "left").drop("salt"))
         parts.append(marked.where("large is null").drop("large"))
-        nodes = _entered(marked.where("large"), {m: split_bits(m & ALL, budget) for m in masks})
+        nodes = durable(_entered(marked.where("large"), {m: split_bits(m & ALL, budget) for m in masks}).distinct())
     small = parts[0]
     for part in parts[1:]:
         small = small.unionByName(part)

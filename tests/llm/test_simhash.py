@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -70,3 +71,15 @@ def test_empty_table_and_nulls(spark):
     docs = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (4, "a b c"), (None, None)], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.near_duplicates(docs).collect())
     assert got == [(-1, -1), (-1, 4), (4, 4), (4, 4)]
+
+
+def test_a_node_reached_by_several_routes_loses_no_link(spark):
+    rnd = random.Random(11)
+    high = rnd.getrandbits(46) << 18
+    prints = np.array(sorted({high | rnd.getrandbits(18) for _ in range(3000)}), np.uint64)
+    classes = spark.createDataFrame(list(enumerate(prints.view(np.int64).tolist())), "id long, fp long")
+    found = {r.node: r.component for r in simhash.connected(simhash.near_edges(classes)).collect()}
+    left, right = np.nonzero(np.triu(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 2, 1))
+    label = simhash.spanning(len(prints), left, right)
+    assert len(prints) > 2000 and len(set(label.tolist())) > 1
+    assert [found.get(i, i) for i in range(len(prints))] == label.tolist()
