@@ -1,6 +1,6 @@
 """Vector retrieval: scores, quotas, diversity, budgets, and the cache of answered questions.
 
-Candidates are cut to `fetch` for each query or document by a window before anything needs them together, so no task holds more.
+Candidates for variety are cut to `fetch` for each query or document by a window before anything needs them together, so no task holds more; packing needs no cut.
 """
 
 from __future__ import annotations
@@ -102,11 +102,17 @@ def priority(score: Column, importance: Column, section: Column) -> Column:
     return F.when(section, 1).when(score.isNotNull(), by_score).otherwise(by_importance)
 
 
-def packed(rows: DataFrame, by: str, key: str, text: str, budget: int, fetch: int = FETCH) -> DataFrame:
-    """(by, key, tokens): of each group's `fetch` best rows, those that fit a budget of tokens, one after another by priority and score; what doesn't fit is passed over, and a later, smaller one may fit."""
-    order = Window.partitionBy(by).orderBy("priority", F.desc("score"), key)
-    near = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= fetch)
-    one = F.struct("place", F.col(key).alias("key"), tokens(F.col(text), 1).alias("tokens"))
+def packed(rows: DataFrame, by: str, key: str, text: str, budget: int) -> DataFrame:
+    """(by, key, tokens): of each group's rows, those that fit a budget of tokens, one after another by priority and score; what doesn't fit is passed over, and a later, smaller one may fit.
+
+    What is used only grows, so once a row of some size is passed over, all later ones of this size are: of each size, the first budget / size rows are all that can be taken, and only they are gathered.
+    """
+    order = [F.col("priority"), F.desc("score"), F.col(key)]
+    sized = rows.withColumn("tokens", tokens(F.col(text), 1)).where(F.col("tokens") <= budget)
+    turn = F.row_number().over(Window.partitionBy(by, "tokens").orderBy(*order))
+    near = sized.withColumn("place", turn).where(F.col("place") <= budget).where(F.col("place").cast("long") * F.col("tokens") <= budget)
+    near = near.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    one = F.struct("place", F.col(key).alias("key"), "tokens")
     held = near.groupBy(by).agg(F.sort_array(F.collect_list(one)).alias("rows"))
     begin = F.struct(F.lit(0).alias("used"), F.slice("rows", 1, 0).alias("taken"))
     fold = F.aggregate("rows", begin, lambda a, r: F.when(a["used"] + r["tokens"] <= budget, F.struct((a["used"] + r["tokens"]).alias("used"), F.array_append(a["taken"], r).alias("taken"))).otherwise(a))

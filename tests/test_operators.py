@@ -1,5 +1,6 @@
 """The library's own operators over small frames."""
 
+import random
 from datetime import date, datetime
 
 import numpy as np
@@ -93,6 +94,23 @@ def test_varied_choice_and_greedy_packing(spark):
     assert sorted(values(retrieval.packed(rows, "doc", "k", "t", 25), "k")) == [0, 2, 3]
 
 
+def test_packing_goes_through_whole_groups(spark):
+    rnd = random.Random(4)
+    rows = [("long", i, "x" * 900, 1000.0 - i, 1) for i in range(60)] + [("long", 60 + i, "x" * 40, 100.0 - i, 2) for i in range(60)]
+    rows += [("mixed", i, None if i % 50 == 0 else "x" * rnd.randint(0, 1200), rnd.choice([None, *range(9)]), rnd.randint(1, 3)) for i in range(700)]
+    rows = [(g, i, t, None if s is None else float(s), p) for g, i, t, s, p in rows]
+    want, used = set(), {}
+    for g, i, t, s, p in sorted(rows, key=lambda r: (r[4], r[3] is None, -(r[3] or 0), r[1])):
+        n = max(1, len(t or "") // 4)
+        if used.get(g, 0) + n <= 200:
+            used[g] = used.get(g, 0) + n
+            want.add((g, i, n))
+    df = spark.createDataFrame(rows, "doc string, k int, t string, score double, priority int").repartition(7)
+    got = [tuple(r) for r in retrieval.packed(df, "doc", "k", "t", 200).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert sum(g == "long" for g, _, _ in got) == 20
+
+
 def test_cache(spark):
     cache = spark.createDataFrame([(1, "w", "factual", [1.0, 0.0], [7], datetime(2030, 1, 1), True, 0.9, 0), (2, "w", "factual", [1.0, 0.0], [8], datetime(2030, 1, 1), True, 0.9, 2)], "entry_id int, workspace_id string, intent string, embedding array<double>, source_ids array<int>, expires_at timestamp, is_valid boolean, confidence double, complaints int")
     asked = spark.createDataFrame([(1, "w", "factual", [1.0, 0.01], [8]), (2, "w", "factual", [1.0, 0.0], [9])], "question_id int, workspace_id string, intent string, embedding array<double>, allowed array<int>")
