@@ -26,6 +26,8 @@ ANY_MORE = r"gh[opsur]_|xox[abprs]-|\beyJ|(?i:bearer\x20)|-----BEGIN|://[^\s:/@]
 KINDS = ("assign", "access", "hex")
 #: A candidate in the hands of more owners than this is an example that was copied, not a credential that one of them uses.
 OWNERS = 1
+#: So is one in more documents than this, even if they all have one owner.
+REPOSITORIES = 10
 
 
 def base_spans(text: Column) -> Column:
@@ -47,11 +49,12 @@ def _narrow(spans: Column) -> Column:
     ))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", owners: int = OWNERS) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_copied) of every row.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", owners: int = OWNERS, repositories: int = REPOSITORIES) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_copied, n_repositories) of every row.
 
     Hashes of all candidate values are counted over the corpus by distinct documents, which stand for repositories, and by distinct owners. A span beyond the base is added if at most `owners`
-    owners hold its value. n_owned and n_copied count all candidates of a document whose value so few or more owners hold.
+    owners and `repositories` repositories hold its value. n_owned and n_copied count all candidates of a document whose value so few or more hold; n_repositories is the greatest number of
+    repositories that hold one of its values, 0 without any. A document with several owners is a repository of each.
 
     A null text counts as empty; a null owner is one owner. Repeated rows each get their spans, and count as one repository if their ids are equal. Values don't leave the scan, only hashes. Counts of a value are summed in each
     task before they are shuffled, and adaptive skew handling deals the rows of a very common value over several tasks.
@@ -63,12 +66,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     candidates = candidates.withColumn("hash", F.col("span.hash"))
     held = candidates.select("hash", "owner", "doc_id").distinct().groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
     held = held.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
-    owned = F.col("owners") <= owners
+    owned = (F.col("owners") <= owners) & (F.col("repositories") <= repositories)
     added = F.collect_list(F.when(owned & (F.col("span.rank") >= len(KINDS)), F.col("span"))).alias("added")
-    judged = candidates.join(held, "hash").groupBy("row").agg(added, F.sum(owned.cast("long")).alias("n_owned"), F.sum((~owned).cast("long")).alias("n_copied"))
+    judged = candidates.join(held, "hash").groupBy("row").agg(added, F.sum(owned.cast("long")).alias("n_owned"), F.sum((~owned).cast("long")).alias("n_copied"), F.max("repositories").alias("n_repositories"))
     out = read.join(judged, "row", "left")
     return out.select(
         "doc_id", *(counted(F.col("base"), kind).alias(f"n_{kind}") for kind in KINDS), F.sha2(written(F.col("base")), 256).alias("base_sha256"),
         written(F.concat("base", F.coalesce("added", F.slice("more", 1, 0)))).alias("spans"),
         F.coalesce("n_owned", F.lit(0)).alias("n_owned"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
+        F.coalesce("n_repositories", F.lit(0)).alias("n_repositories"),
     )

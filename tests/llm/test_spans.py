@@ -70,6 +70,20 @@ def test_ownership(spark):
     assert credentials.scan(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
 
 
+def test_many_documents_of_one_owner_are_copies(spark):
+    own, example = "ghp_" + "A1b2" * 9, "ghp_" + "Z9y8" * 9
+    rows = [(i, f"x {own}", "hot") for i in range(credentials.REPOSITORIES)] + [(100 + i, f"x {example}", "hot") for i in range(credentials.REPOSITORIES + 1)]
+    rows += [(0, f"x {own}", "hot"), (500, f"{own} {example}", "hot"), (501, "plain", "hot")]
+    got = credentials.scan(spark.createDataFrame(rows[1:], "doc_id long, text string, source string")).collect()
+    held = {own: credentials.REPOSITORIES + 1, example: credentials.REPOSITORIES + 2}
+    assert {(r.n_owned, r.n_copied, r.n_repositories) for r in got if r.doc_id < 100} == {(0, 1, held[own])}
+    assert {(r.n_owned, r.n_copied, r.n_repositories, r.spans) for r in got if 100 <= r.doc_id < 500} == {(0, 1, held[example], "")}
+    got = credentials.scan(spark.createDataFrame(rows[:-2], "doc_id long, text string, source string")).collect()
+    span = f"code_host:2:{2 + len(own)}"
+    assert {(r.n_owned, r.n_copied, r.n_repositories, r.spans) for r in got if r.doc_id < 100} == {(1, 0, credentials.REPOSITORIES, span)}
+    assert {(r.n_owned, r.n_copied, r.n_repositories, r.spans) for r in got if r.doc_id >= 100} == {(0, 1, credentials.REPOSITORIES + 1, "")}
+
+
 def test_personal_base(spark):
     got = {r.doc_id: r for r in personal.detect(frame(spark)).collect()}
     for i, t in enumerate(texts()):
