@@ -59,7 +59,7 @@ STAGES = [
     ("mixture", mix_sources), ("encoding", encode),
 ]
 
-#: SQL can't state the stages; tests hold each against a plain version.
+#: SQL can't state the stages; tests/llm holds the operators that they call against plain versions, but runs no stage.
 ORACLE_SQL = None
 
 
