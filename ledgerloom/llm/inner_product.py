@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import durable
 
-#: Rows of a block of vectors, and of queries.
+#: Rows of a block of vectors.
 BLOCK = 1024
-#: Vectors of the greatest lengths, from which every query gets its first bound.
-PILOT = 2048
-#: Blocks of queries are dealt over so many rows of a grid, blocks of vectors over so many columns; each pair of blocks meets in one cell.
-GRID_ROWS, GRID_COLUMNS = 4, 16
+#: Queries of a cell, which are held while the vectors pass by.
+ASKED = 16384
+#: Every cell of a grid holds ASKED queries and sees one of so many equal parts of the vectors; each part is a sample of all lengths.
+PARTS = 16
+#: Scores that are held at once.
+HELD = 1 << 22
 #: What rounding can take from a bound, as a share of the product of lengths.
 SLACK = 1e-9
 
@@ -63,126 +67,178 @@ def rotation(rows: DataFrame, dim: int) -> np.ndarray:
     return np.linalg.svd(gram.reshape(dim, dim))[0]
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to the smaller id."""
-    if len(scores) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        use = np.flatnonzero(scores >= least)
-    else:
-        use = np.arange(len(scores))
-    return use[np.lexsort((ids[use], -scores[use]))[:k]]
+class Search:
+    """The k best of each query among the vectors seen so far, exact; vectors come in blocks of descending length.
 
-
-def search_block(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, x: np.ndarray, ids: np.ndarray, turn: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query, ids and scores of the vectors of one block that can be among its k best, exact.
-
-    x is in descending order of length. A query looks at the vectors until length times length is below its floor, the k-th score it is sure of; then rotated
-    coordinates are added in steps of doubling width, and a vector goes as soon as the partial sum and the product of the remaining
-    lengths are below the floor. What is left is scored in whole numbers.
+    A query's floor is its k-th score so far. A block is left out for a query whose length times the block's greatest is below the floor. For all others rotated coordinates are
+    added in steps of doubling width, and a vector goes as soon as the partial sum and the product of the remaining lengths are below the floor. What is left is
+    scored in whole numbers.
     """
-    xr, qr = x @ turn, q @ turn
-    x_norm, q_norm = np.linalg.norm(xr, axis=1), np.linalg.norm(qr, axis=1)
-    dim = x.shape[1]
-    steps = [w for w in (8, 16, 32) if w < dim]
-    rest = {w: np.linalg.norm(xr[:, w:], axis=1) for w in steps}
-    for i in range(len(q)):
-        slack = SLACK * q_norm[i] * (x_norm[0] if len(x_norm) else 0) + 1e-6
-        least = floor[i] - slack
-        live = np.arange(np.searchsorted(-x_norm * q_norm[i], -least, side="right")) if q_norm[i] else np.arange(len(x) if floor[i] <= 0 else 0)
-        partial, done = np.zeros(len(live)), 0
-        for w in steps:
-            if not len(live):
-                break
-            partial += xr[live, done:w] @ qr[i, done:w]
-            ok = partial + rest[w][live] * np.linalg.norm(qr[i, w:]) >= least
-            live, partial, done = live[ok], partial[ok], w
-        if not len(live):
-            continue
-        scores = x[live] @ q[i]
-        own = ids[live] != q_ids[i]
-        use = np.flatnonzero(own & (scores >= floor[i]))
-        best = use[_best(scores[use], ids[live][use], k)]
-        if len(best):
-            yield i, ids[live][best], scores[best]
-
-
-def _blocks(dim: int):
-    """Packs rows (id, x) of a partition, in their order, into blocks: ids and components as bytes."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, turn: np.ndarray, k: int):
+        self.ids, self.q, self.k, self.turn = ids, q, k, turn
+        self.qr = q @ turn
+        self.norm = np.linalg.norm(self.qr, axis=1)
+        self.steps = [w for w in (8, 16, 32) if w < q.shape[1]]
+        self.rest = {w: np.linalg.norm(self.qr[:, w:], axis=1) for w in self.steps}
+        self.floor = np.full(len(ids), -np.inf)
+        self.best = [np.zeros(0, np.int64)] * 3  # places of queries, ids and scores
+
+    def see(self, ids: np.ndarray, x: np.ndarray) -> None:
+        """Takes in a block in descending order of length."""
+        xr = x @ self.turn
+        norm = np.linalg.norm(xr, axis=1)
+        rest = {w: np.linalg.norm(xr[:, w:], axis=1) for w in self.steps}
+        slack = SLACK * self.norm * (norm[0] if len(norm) else 0.0) + 1e-6
+        able = np.flatnonzero(self.norm * (norm[0] if len(norm) else 0.0) >= self.floor - slack)
+        exact = bool(len(norm)) and float(self.norm.max(initial=0.0)) * float(norm[0]) < 2.0**52
+        width = max(1, HELD // max(1, len(ids)))
+        for at in range(0, len(able), width):
+            use = able[at : at + width]
+            least = self.floor[use] - slack[use]
+            found = self._dense(use, least, ids, x, xr, rest, exact)
+            if found is None:
+                continue
+            rows, columns, scores = found
+            own = self.ids[use[rows]] == ids[columns]
+            self._merge(use[rows[~own]], ids[columns[~own]], scores[~own])
+
+    def _dense(self, use: np.ndarray, least: np.ndarray, ids: np.ndarray, x: np.ndarray, xr: np.ndarray, rest: dict, exact: bool):
+        """Places of queries (of use) and vectors whose score may be the floor or more, with the score; None without any."""
+        q, qr = self.q[use], self.qr[use]
+        rows = columns = None
+        partial, done = np.zeros((len(use), len(x))), 0
+        for w in self.steps:
+            if rows is None:
+                partial += qr[:, done:w] @ xr[:, done:w].T
+                ok = partial + np.outer(self.rest[w][use], rest[w]) >= least[:, None]
+                many = int(ok.sum())
+                if not many:
+                    return None
+                if many * 16 < ok.size:
+                    rows, columns = np.nonzero(ok)
+                    partial = partial[rows, columns]
+            else:
+                partial = partial + np.einsum("ij,ij->i", qr[rows, done:w], xr[columns, done:w])
+                ok = partial + self.rest[w][use[rows]] * rest[w][columns] >= least[rows]
+                rows, columns, partial = rows[ok], columns[ok], partial[ok]
+            done = w
+        if rows is not None:
+            scores = np.einsum("ij,ij->i", self.whole(q)[rows], self.whole(x)[columns])
+        else:
+            full = (q @ x.T).astype(np.int64) if exact else self.whole(q) @ self.whole(x).T
+            fresh = least == -np.inf
+            if fresh.any() and full.shape[1] > self.k:
+                own = np.flatnonzero(np.isin(ids, self.ids[use]))
+                full[:, own] = np.where(self.ids[use][:, None] == ids[own], np.iinfo(np.int64).min, full[:, own])
+                least = least.copy()
+                least[fresh] = np.partition(full[fresh], -self.k, axis=1)[:, -self.k]
+            rows, columns = np.nonzero(full >= least[:, None])
+            scores = full[rows, columns]
+        ok = scores >= least[rows]
+        return rows[ok], columns[ok], scores[ok]
+
+    @staticmethod
+    def whole(x: np.ndarray) -> np.ndarray:
+        return x.astype(np.int64)
+
+    def _merge(self, places: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        places, ids, scores = (np.concatenate(pair) for pair in zip(self.best, (places, ids, scores), strict=True))
+        order = np.lexsort((ids, -scores, places))
+        places, ids, scores = places[order], ids[order], scores[order]
+        first = np.searchsorted(places, places)
+        rank = np.arange(len(places)) - first
+        last = rank == self.k - 1
+        self.floor[places[last]] = scores[last]
+        self.best = [c[rank < self.k] for c in (places, ids, scores)]
+
+
+def _blocks(dim: int, kind: np.dtype):
+    """Packs rows (id, x, norm) of a partition, in their order, into blocks: ids and components as bytes, the greatest norm, and a number by which blocks are dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
+        turn = count(TaskContext.get().partitionId())
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
             while rows >= BLOCK:
                 whole = pa.Table.from_batches(held).combine_chunks()
-                yield packed(whole.slice(0, BLOCK))
+                yield packed(whole.slice(0, BLOCK), next(turn))
                 rows -= BLOCK
                 held = whole.slice(BLOCK).to_batches()
         if rows:
-            yield packed(pa.Table.from_batches(held).combine_chunks())
+            yield packed(pa.Table.from_batches(held).combine_chunks(), next(turn))
 
-    def packed(part: pa.Table) -> pa.RecordBatch:
-        ids = part.column("id").to_numpy()
-        x = _matrix(part.column("x"), dim)
-        return pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(x).tobytes()], pa.binary())], names=["ids", "x"])
+    def packed(part: pa.Table, turn: int) -> pa.RecordBatch:
+        x = np.ascontiguousarray(_matrix(part.column("x"), dim).astype(kind))
+        columns = pa.array([part.column("id").to_numpy().tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([part.column("norm").to_numpy().max()]), pa.array([turn])
+        return pa.RecordBatch.from_arrays(list(columns), names=["ids", "x", "norm", "turn"])
 
     return run
 
 
-def _unpack(ids: bytes, x: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(x, np.int64).reshape(-1, dim)
+def _cells(dim: int, kind: np.dtype, k: int, turn: np.ndarray):
+    """Searches the cells of a partition, one after the other; of each the queries come first, then blocks of vectors by descending length."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, asked, search = None, [], None
+        for batch in batches:
+            for at, query, ids_, x_ in zip(*(batch.column(c).to_pylist() for c in ("cell", "query", "ids", "x")), strict=True):
+                if at != cell:
+                    if search:
+                        yield from answers(search)
+                    cell, asked, search = at, [], None
+                ids, x = np.frombuffer(ids_, np.int64), np.frombuffer(x_, kind).reshape(-1, dim).astype(np.float64)
+                if query:
+                    asked.append((ids, x))
+                    continue
+                if search is None and asked:
+                    search = Search(np.concatenate([i for i, _ in asked]), np.concatenate([v for _, v in asked]), turn, k)
+                    asked = []
+                if search:
+                    order = np.argsort(-np.square(x).sum(axis=1), kind="stable")
+                    search.see(ids[order], x[order])
+        if search:
+            yield from answers(search)
+
+    def answers(search: Search) -> Iterator[pa.RecordBatch]:
+        places, ids, scores = search.best
+        for at in range(0, len(places), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(search.ids[places[part]]), pa.array(ids[part]), pa.array(scores[part].astype(np.int64))], names=["query_id", "vec_id", "score"])
 
-def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    return run
+
+
+def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", asked: int = ASKED, parts: int = PARTS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, the k other rows of the greatest inner product.
 
     Products are of floor(scale * component) in whole numbers. Ties go to the smaller id. Rows with a null id, and vectors that are null or hold a null or non-finite component, take no part;
     shorter vectors count as filled up with zeros. Equal vectors have equal scores, and only the k + 1 of them with the least ids can be answers to a query, so a
-    large group of them is one candidate with that many ids. Ids are expected to be distinct; a repeated id repeats as a candidate only with another vector.
+    large group of them is one candidate with that many ids. Ids are expected to be distinct; rows that repeat one are candidates each, up to k + 1 of equal ones, and as a query
+    they share one list of k. A query alone in its table has no row.
 
-    Vectors are dealt by descending length into ranges, packed into blocks, and meet blocks of queries in the cells of a grid. Every query starts from its k-th best score
-    among the PILOT longest vectors, a broadcast of that many rows. A cell holds a block of queries and a block of vectors at a time.
+    Vectors are sorted by descending length over the whole table and packed into blocks. Every cell of a grid holds up to `asked` queries and sees one of `parts` parts of the
+    blocks, the longest first, so that its queries' bounds rise fast; it hands on k rows of each query. A cell holds its queries, one block and k answers of each query.
     """
-    spark = vectors.sparkSession
     rows = durable(quantized(vectors, id_col, vector_col, scale))
-    dim = rows.agg(F.max(F.size("x"))).first()[0] or 1
+    least, most = F.coalesce(F.array_min("x"), F.lit(0)), F.coalesce(F.array_max("x"), F.lit(0))
+    dim, low, high, n = rows.agg(F.max(F.size("x")), F.min(least), F.max(most), F.count(F.when(F.col("id") % every == 0, 1))).first()
+    dim = dim or 1
+    kind = np.dtype(np.int16 if max(-(low or 0), high or 0) < 1 << 15 else np.int64)
     turn = rotation(rows, dim)
-    queries = rows.where(F.col("id") % every == 0)
     place = F.row_number().over(Window.partitionBy("norm", "x").orderBy("id"))  # each task keeps k + 1 of equal vectors before they are shuffled
-    longest = durable(rows.withColumn("place", place).where(F.col("place") <= k + 1).select("id", "x", "norm"))
-    pilot = longest.orderBy(F.desc("norm"), "id").limit(PILOT).select("id", "x").toArrow()
-    head = spark.sparkContext.broadcast((turn, pilot.column("id").to_numpy(), _matrix(pilot.column("x"), dim)))
-
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds to each block of queries the k-th score that each is sure of."""
-        _, ids, x = head.value
-        for batch in batches:
-            for q_ids_, q_ in zip(batch.column("ids").to_pylist(), batch.column("x").to_pylist(), strict=True):
-                q_ids, q = _unpack(q_ids_, q_, dim)
-                scores = (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
-                scores[q_ids[:, None] == ids[None, :]] = np.iinfo(np.int64).min
-                floor = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(q), np.iinfo(np.int64).min)
-                yield pa.RecordBatch.from_arrays([pa.array([q_ids_], pa.binary()), pa.array([q_], pa.binary()), pa.array([floor.tobytes()], pa.binary())], names=["q_ids", "q", "floor"])
-
-    def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn, _, _ = head.value
-        for batch in batches:
-            for q_ids_, q_, floor, ids_, x_ in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q", "floor", "ids", "x")), strict=True):
-                (q_ids, q), (ids, x) = _unpack(q_ids_, q_, dim), _unpack(ids_, x_, dim)
-                order = np.argsort(-np.square(x.astype(np.float64)).sum(axis=1), kind="stable")
-                for i, found, scores in search_block(q, q_ids, np.frombuffer(floor, np.int64).astype(np.float64), x[order], ids[order], turn, k):
-                    n = len(found)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, q_ids[i])), pa.array(found), pa.array(scores)], names=["query_id", "vec_id", "score"])
-
-    ordered = longest.repartitionByRange(F.desc("norm"), "id").sortWithinPartitions(F.desc("norm"), "id")
-    candidates = ordered.select("id", "x").mapInArrow(_blocks(dim), "ids binary, x binary")
-    asked = queries.select("id", "x").repartition("id").mapInArrow(_blocks(dim), "ids binary, x binary").mapInArrow(bounded, "q_ids binary, q binary, floor binary")
-    own = F.xxhash64
-    asked = asked.withColumn("r", F.pmod(own("q_ids"), F.lit(GRID_ROWS)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(GRID_COLUMNS - 1))))
-    candidates = candidates.withColumn("c", F.pmod(own("ids"), F.lit(GRID_COLUMNS)).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(GRID_ROWS - 1))))
-    pairs = asked.join(candidates, ["r", "c"]).select("q_ids", "q", "floor", "ids", "x")
-    found = pairs.mapInArrow(cell, "query_id long, vec_id long, score long")
+    longest = rows.withColumn("place", place).where(F.col("place") <= k + 1).drop("place")
+    bands = max(1, -(-n // asked))
+    blocks = "ids binary, x binary, norm double, turn long"
+    queries = rows.where(F.col("id") % every == 0).mapInArrow(_blocks(dim, kind), blocks)
+    questions = queries.select(F.pmod("turn", F.lit(bands)).alias("band"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(True).alias("query"), "ids", "x", "norm")
+    ordered = longest.repartitionByRange(F.desc("norm"), "id").sortWithinPartitions(F.desc("norm"), "id").mapInArrow(_blocks(dim, kind), blocks)
+    seen = ordered.select(F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"), F.pmod("turn", F.lit(parts)).alias("part"), F.lit(False).alias("query"), "ids", "x", "norm")
+    cells = questions.unionByName(seen).withColumn("cell", (F.col("band") * parts + F.col("part")).cast("int"))
+    cells = cells.repartitionById(bands * parts, "cell").sortWithinPartitions("cell", F.desc("query"), F.desc("norm"))
+    found = cells.select("cell", "query", "ids", "x").mapInArrow(_cells(dim, kind, k, turn), "query_id long, vec_id long, score long")
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

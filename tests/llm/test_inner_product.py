@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from ledgerloom.llm import inner_product as ip
 
@@ -10,10 +11,9 @@ def brute(rows, k=20, every=20):
     fit = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     dot = lambda a, b: sum(x * y for x, y in zip(a, b))
     out = set()
-    for q, x in fit:
-        if q % every == 0:
-            best = sorted(((-dot(x, y), i) for i, y in fit if i != q))[:k]
-            out |= {(q, r, i, -s) for r, (s, i) in enumerate(best, 1)}
+    for q in {q for q, _ in fit if q % every == 0}:
+        best = sorted((-dot(x, y), i) for p, x in fit if p == q for i, y in fit if i != q)[:k]
+        out |= {(q, r, i, -s) for r, (s, i) in enumerate(best, 1)}
     return out
 
 
@@ -24,15 +24,17 @@ def cases():
     hot = [f32() for _ in range(12)]
     rows += [(1000 + i, hot) for i in range(300)]
     rows += [(2000, None), (2020, [1.0, None] + [0.0] * 10), (2040, [float("nan")] * 12), (2060, [float("inf")] * 12), (None, hot), (2080, [0.0] * 12), (2100, [5.0, -5.0]), (2101, [])]
+    rows += [(60, rows[61][1]), (63, rows[63][1]), (80, rows[80][1]), (80, rows[80][1])]  # a second vector of one id, and repeated rows
     return rows
 
 
-def test_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(ip, "PILOT", 50)
+@pytest.mark.parametrize(("asked", "parts", "block"), [(16384, 16, 1024), (8, 3, 16)])
+def test_against_brute_force(spark, monkeypatch, asked, parts, block):
+    monkeypatch.setattr(ip, "BLOCK", block)
     rows = cases()
     frame = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int").repartition(6)
-    got = {tuple(r) for r in ip.top_k(frame).collect()}
-    assert got == brute(rows)
+    got = [tuple(r) for r in ip.top_k(frame, asked=asked, parts=parts).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
 
 
 def test_few_rows(spark):
@@ -42,16 +44,25 @@ def test_few_rows(spark):
     assert {tuple(r) for r in ip.top_k(frame).collect()} == brute([(20, [1.0]), (3, [-2.0]), (40, [0.5])])
 
 
-def test_blocks_are_pruned_without_loss():
+@pytest.mark.parametrize("lengths", ["skewed", "equal"])
+def test_blocks_are_pruned_without_loss(monkeypatch, lengths):
+    monkeypatch.setattr(ip, "HELD", 1 << 13)
     rng = np.random.default_rng(0)
-    x = rng.integers(-200, 200, (900, 32)) // rng.integers(1, 9, (900, 1))
-    x = x[np.argsort(-(x * x).sum(axis=1), kind="stable")]
-    ids = np.arange(900)
+    x = rng.integers(-200, 200, (900, 32)) // rng.integers(1, 9, (900, 1)) if lengths == "skewed" else rng.integers(-2, 3, (900, 32))
+    x = x[np.argsort(-(x * x).sum(axis=1), kind="stable")].astype(float)
+    ids = rng.permutation(900)
     q, q_ids = x[::45], ids[::45]
-    turn = np.linalg.svd(x.T @ x.astype(float))[0]
-    full = q @ x.T
-    full[np.arange(len(q)), q_ids] = -(10**9)
-    floor = np.partition(full, -5, axis=1)[:, -5]
-    for i, found, scores in ip.search_block(q, q_ids, floor.astype(float), x, ids, turn, 5):
-        want = sorted(zip(-full[i], ids))[:5]
-        assert list(zip(-scores, found)) == want
+    search = ip.Search(q_ids, q, np.linalg.svd(x.T @ x)[0], 5)
+    for at in range(0, 900, 100):
+        search.see(ids[at : at + 100], x[at : at + 100])
+    places, found, scores = search.best
+    for i, own in enumerate(q_ids):
+        want = sorted((-int(s), j) for s, j in zip(x @ q[i], ids) if j != own)[:5]
+        assert list(zip(-scores[places == i], found[places == i])) == want
+
+
+def test_products_beyond_doubles():
+    x = np.array([[3.0e8, 1.0], [3.0e8, 2.0], [3.0e8, 3.0]])
+    search = ip.Search(np.array([9]), np.array([[3.0e8, 7.0]]), np.eye(2), 2)
+    search.see(np.arange(3), x)
+    assert search.best[2].tolist() == [9 * 10**16 + 21, 9 * 10**16 + 14]
