@@ -100,14 +100,17 @@ def demux(media: bytes) -> dict[int, list[tuple[int, bytes]]]:
     """Packets of each logical stream, each with the samples of the whole sound up to its end; headers have 0.
 
     A packet's segments may go on over pages. A page's granule position belongs to the last packet that ends on it; packets before it
-    on the page end a turn of all tracks earlier each. Lost pages and wrong continuations raise ValueError.
+    on the page end a turn of all tracks earlier each. Lost pages, wrong continuations, and streams without their last page or going on after it raise ValueError.
     """
     streams: dict[int, list[tuple[int, bytes]]] = {}
     open_: dict[int, bytes] = {}
     following: dict[int, int] = {}
+    finished: set[int] = set()
     for flags, granule, serial, number, lace, body in pages(media):
         if bool(flags & FIRST) != (serial not in streams) or number != following.get(serial, 0):
             raise ValueError(f"page {number} of stream {serial} is out of order")
+        if serial in finished:
+            raise ValueError(f"stream {serial} goes on after its last page")
         following[serial] = number + 1
         if bool(flags & CONTINUED) != (serial in open_):
             raise ValueError(f"page {number} of stream {serial} does not continue the page before")
@@ -125,8 +128,12 @@ def demux(media: bytes) -> dict[int, list[tuple[int, bytes]]]:
         turn = BLOCK * len(TRACKS)
         found = streams.setdefault(serial, [])
         found += [(max(0, granule - turn * (len(ended) - 1 - i)), p) for i, p in enumerate(ended)]
-        if flags & LAST and serial in open_:
-            raise ValueError(f"stream {serial} ends inside a packet")
+        if flags & LAST:
+            finished.add(serial)
+            if serial in open_:
+                raise ValueError(f"stream {serial} ends inside a packet")
+    if unfinished := set(streams) - finished:
+        raise ValueError(f"streams {sorted(unfinished)} have no last page")
     return streams
 
 

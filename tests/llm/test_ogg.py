@@ -65,3 +65,18 @@ def test_query(spark):
         assert struct.unpack_from("<4s", r.media)[0] == b"OggS"
     assert rows[2][1:] == rows[5][1:] and rows[0][1:] == rows[1][1:]
     assert ogg.media_columns(docs.limit(0)).collect() == []
+
+
+def test_files_cut_at_a_page_are_refused():
+    media = ogg.mux(bytes(range(256)) * 9 * 64 * 4)
+    cuts, at = [], 0
+    for *_, lace, body in ogg.pages(media):
+        at += ogg.HEAD.size + len(lace) + len(body)
+        cuts.append(at)
+    assert cuts[-1] == len(media) and len(cuts) > 6
+    for cut in cuts[:-1]:
+        with pytest.raises(ValueError):
+            ogg.read(media[:cut])
+    *_, lace, body = list(ogg.pages(media))[-1]
+    with pytest.raises(ValueError):
+        ogg.read(media + media[cuts[-2] :])
