@@ -18,8 +18,8 @@ HIDDEN = 8
 WINDOW = 128
 #: The network is fitted on an excerpt of at most EXCERPT characters from each of at most SAMPLE labelled documents.
 SAMPLE, EXCERPT = 3000, 1000
-#: The sample is picked among so many times its number of rows, on average, of the least hashes.
-ROOM = 4
+#: Bits of a hash by which labelled rows are counted, to find how far the sample reaches.
+SLOTS = 16
 STEPS, BATCH, RATE, SEED = 500, 192, 0.02, 11
 #: Windows that are labelled at once.
 SIDE_BY_SIDE = 8192
@@ -183,22 +183,27 @@ def predict(network: Network, texts: list[bytes]) -> tuple[list[int], list[float
     return best.tolist(), p.max(axis=1).tolist()
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", divisor: int = 4, held_out: int = 2, sample: int = SAMPLE) -> Network | None:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", divisor: int = 4, held_out: int = 2, sample: int = SAMPLE, excerpt: int = EXCERPT) -> Network | None:
     """The network fitted on labelled rows outside the held-out ones; None without any.
 
-    The sample is the `sample` rows of the least id hashes, among the share of hashes that ROOM times as many labelled rows have on average; an excerpt of each comes
-    to the driver, from a place in the text that its hash names.
+    Of the distinct labelled rows (id, text and language), the `sample` with the least hashes are fitted on; an excerpt of up to `excerpt` characters of each comes to the
+    driver, from a place in the text that its hash names. Rows are first counted by the highest bits of their hashes, so that only those that can be in the sample are gathered; repeated
+    rows are one in each task, and the reach is extended while repeats leave the sample short.
     """
-    key = F.xxhash64(F.lit(SEED), id_col)
-    labelled = docs.where((remainder(F.col(id_col), divisor) != held_out) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    start = (F.pmod(key, F.greatest(F.lit(1), F.length(text_col) - EXCERPT + 1)) + 1).cast("int")
-    excerpt = F.col(text_col).substr(start, F.lit(EXCERPT))
-    rows = labelled.select(key.alias("key"), F.col(lang_col).alias("lang"), excerpt.alias("text")).where(excerpt.rlike(r"\p{L}"))
-    many = docs.where(F.col(lang_col).isNotNull()).select(F.count("*")).first()[0]
-    if many > ROOM * sample:  # else every task would send its own `sample` rows to the driver
-        span = round((1 << 64) * ROOM * sample / many)
-        rows = rows.where(F.col("key") < F.lit(span - (1 << 63)))
-    picked = rows.orderBy("key", "text").limit(sample).collect()
+    key = F.xxhash64(F.lit(SEED), id_col, text_col)
+    rows = docs.where((remainder(F.col(id_col), divisor) != held_out) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    start = (F.pmod(key, F.greatest(F.lit(1), F.length(text_col) - excerpt + 1)) + 1).cast("int")
+    rows = rows.select(key.alias("key"), F.col(lang_col).alias("lang"), F.col(text_col).substr(start, F.lit(excerpt)).alias("text")).where(F.col("text").rlike(r"\p{L}"))
+    slot = F.shiftright(F.col("key"), 64 - SLOTS)
+    counts = {r.slot: r.n for r in rows.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).collect()}
+    slots = sorted(counts)
+    upto = np.cumsum([counts[s] for s in slots])
+    picked, reach = [], 0
+    while len(picked) < sample and reach < len(slots):
+        want = (upto[reach - 1] if reach else 0) + sample - len(picked)
+        reach = min(len(slots), int(np.searchsorted(upto, want)) + 1)
+        near = rows.where(slot <= slots[reach - 1]).groupBy("key", "lang").agg(F.min("text").alias("text"))
+        picked = near.orderBy("key", "lang").limit(sample).collect()
     return fit([r.text for r in picked], [r.lang for r in picked]) if picked else None
 
 

@@ -58,3 +58,19 @@ def test_nothing_to_learn_from(spark):
     (r,) = language.identify(docs).collect()
     assert (r.lang_pred, r.score) == ("und", 0.0)
     assert language.identify(docs.limit(0)).collect() == []
+
+
+def test_repeated_and_null_ids_don_t_empty_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language, "fit", lambda texts, langs: seen.append((texts, langs)) or "fitted")
+    many = spark.range(15000).selectExpr("4L AS doc_id", "concat('abc ', id) AS text", "if(id % 2 = 0, 'a', 'b') AS lang")
+    for frame in (many, many.selectExpr("CAST(NULL AS LONG) AS doc_id", "text", "lang"), many.selectExpr("id AS doc_id", "text", "lang") if "id" in many.columns else many):
+        assert language.train(frame, sample=300) == "fitted"
+        texts, langs = seen.pop()
+        assert len(texts) == len(set(texts)) == 300 and set(langs) == {"a", "b"}
+    copies = spark.range(15000).selectExpr("4L AS doc_id", "if(id < 14000, 'same text', concat('abc ', id)) AS text", "'a' AS lang")
+    assert language.train(copies, sample=900) == "fitted"
+    assert len(seen.pop()[0]) == 900
+    assert language.train(copies, sample=5000) == "fitted"
+    assert len(seen.pop()[0]) == 1001
+    assert language.train(copies.where("false")) is None
