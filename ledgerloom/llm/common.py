@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but the six ASCII white-space characters.
@@ -50,3 +50,15 @@ def text_bytes(batch: pa.RecordBatch, name: str) -> Iterator[bytes]:
     """Texts of a batch as UTF-8, null as empty. One text at a time, so that only the batch itself is held."""
     for value in batch.column(name).cast(pa.large_binary()):
         yield value.as_py() or b""
+
+
+def numbered(df: DataFrame, by: Column, name: str) -> DataFrame:
+    """df with each row's place, from 0, in the order of `by`; rows stay dealt over ranges, only the ranges' sizes come to the driver."""
+    ranges = durable(df.repartitionByRange(by).withColumn(f"{name}_range", F.spark_partition_id()))
+    sizes = {r[0]: r[1] for r in ranges.groupBy(f"{name}_range").count().collect()}
+    before, total = [], 0
+    for k in range(max(sizes, default=-1) + 1):
+        before.append(total)
+        total += sizes.get(k, 0)
+    place = F.row_number().over(Window.partitionBy(f"{name}_range").orderBy(by)) - 1
+    return ranges.withColumn(name, place + F.element_at(F.array(*map(F.lit, before or [0])), F.col(f"{name}_range") + 1)).drop(f"{name}_range")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import durable, words
+from ledgerloom.llm.common import durable, numbered, words
 
 WEIGHTS = (5, 2, 1)
 #: A source's words are taken at most so often.
@@ -78,15 +78,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     has its target to the word wherever its lengths can add up to it. Null texts and texts without words have size 0 and are never taken;
     a null source is a source, the last one; equal rows are interchangeable; an empty table gives no rows.
     """
-    sizes = durable(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"))
-    )
-    hashed = sizes.withColumn("hash", F.xxhash64(F.lit(seed), "doc_id")).withColumn("part", F.pmod("hash", F.lit(DEALT)).cast("int"))
+    sizes = durable(_measured(docs, id_col, source_col, text_col, seed))
+    return _mixed(sizes, sizes, weights).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+def mixture(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
+    """The rows of docs, each as often as mix takes it; columns of any names stay."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    sizes = durable(_measured(docs, id_col, source_col, text_col, seed))
+    taken = _mixed(sizes, _measured(docs, id_col, source_col, text_col, seed, row), weights).where("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
+
+
+def _measured(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: int, *more: Column) -> DataFrame:
+    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), *more)
+    return sizes.withColumn("hash", F.xxhash64(F.lit(seed), "doc_id")).withColumn("part", F.pmod("hash", F.lit(DEALT)).cast("int"))
+
+
+def _mixed(hashed: DataFrame, rows: DataFrame, weights: tuple[int, ...]) -> DataFrame:
+    """rows, which have the columns of hashed and maybe more, with how many times each is taken."""
     parts = durable(hashed.groupBy("source", "size", "part").agg(F.count("*").alias("n")))
     by_source = parts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # one row for each source
-    weight = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int"))
-    sources = durable(by_source.withColumn("weight", weight))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    sources = durable(numbered(by_source, F.col("source").asc_nulls_last(), "place").withColumn("weight", weight).drop("place"))
     target = F.least(F.col("source_size") * float(MOST), F.col("weight") * F.lit(_level(sources)))
     budgets = sources.select("source", "source_size", target.alias("target")).withColumn("words", F.round("target").cast("long"))
 
@@ -109,6 +123,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     quotas = parts.select(*key(parts), "size", "part", "n").join(picks, ["s", "s_null", "size"])
     quotas = quotas.withColumn("quota", F.col("more") - F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n", "more")
     inside = Window.partitionBy("s", "s_null", "size", "part").orderBy("hash", "doc_id")
-    ranked = hashed.select(*key(hashed), "size", "part", "doc_id", "hash").join(quotas, ["s", "s_null", "size", "part"])
+    ranked = rows.select(*key(rows), *(c for c in rows.columns if c != "source")).join(quotas, ["s", "s_null", "size", "part"])
     more = (F.row_number().over(inside) <= F.col("quota")).cast("long")
-    return ranked.withColumn("more", more).select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("times") + F.col("more"))).alias("taken"))
+    return ranked.withColumn("times", F.col("times") + more).drop("s", "s_null", "hash", "part", "quota")
