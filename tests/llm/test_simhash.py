@@ -83,3 +83,45 @@ def test_a_node_reached_by_several_routes_loses_no_link(spark):
     label = simhash.spanning(len(prints), left, right)
     assert len(prints) > 2000 and len(set(label.tolist())) > 1
     assert [found.get(i, i) for i in range(len(prints))] == label.tolist()
+
+
+def test_null_ids_link_others(spark):
+    base = [" ".join(f"w{i}" for i in range(400))]
+    words = base[0].split()
+    fp = lambda text: simhash.fingerprint(text.encode())
+    near = lambda text, budget: next(t for k in range(400) if 0 < bin(fp(t := " ".join(text.split()[:k] + [f"new{k}"] + text.split()[k + 1 :])) ^ fp(text)).count("1") <= budget)
+    middle = near(base[0], 2)
+    last = next(t for k in range(400) if bin(fp(t := " ".join([*middle.split()[:k], "other", *middle.split()[k + 1 :]])) ^ fp(middle)).count("1") <= 2 < bin(fp(t) ^ fp(base[0])).count("1"))
+    rows = [(1, base[0]), (None, middle), (2, last), (3, " ".join(reversed(words))), (None, "alone here and now")]
+    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(None, None), (None, 1), (1, 1), (2, 1), (3, 3)}
+
+
+def jaccard(a, b, shingle=5):
+    parts = lambda t: {tuple(w[i : i + shingle]) for w in [t.lower().split()] for i in range(max(1, len(w) - shingle + 1))}
+    return len(parts(a) & parts(b)) / len(parts(a) | parts(b))
+
+
+def test_similar_texts_are_found(spark):
+    rnd = random.Random(5)
+    word = lambda: f"w{rnd.randrange(5000)}"
+    rows, wanted, i = [], [], 0
+    for k in range(60):
+        base = [word() for _ in range(rnd.randrange(60, 400))]
+        other = list(base)
+        for at in rnd.sample(range(len(other)), max(1, len(other) * (k % 6) // 100)):
+            other[at] = word()
+        other = " ".join(other).upper()
+        rows += [(i, " ".join(base)), (i + 1, other)]
+        wanted.append((i, jaccard(" ".join(base).upper(), other)))
+        i += 2
+    rows += [(i, None), (i + 1, " "), (None, "one two"), (i + 2, "one two"), (i + 3, "one three"), (0, rows[0][1])]
+    got = simhash.similar(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, component long").repartition(4)).collect()
+    assert len(got) == len(rows)
+    of = {r.doc_id: r.component_id for r in got if r.doc_id is not None}
+    assert of[i + 1] == of[i] == i and of[i + 3] == i + 3 and [r.component_id for r in got if r.doc_id is None] == [i + 2]
+    near = [of[a + 1] == a for a, j in wanted if j >= 0.85]
+    assert len(near) > 20 and sum(near) >= 0.95 * len(near)
+    assert not any(of[a + 1] == a for a, j in wanted if j < 0.55)
+    assert all(of[a] == a for a, _ in wanted)
+    assert simhash.similar(spark.createDataFrame([], "doc_id long, text string")).collect() == []
