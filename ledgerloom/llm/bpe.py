@@ -148,21 +148,23 @@ def _encoder(tokens: list[bytes], pattern: str, key: int) -> Encoder:
 
 def _mapped(docs: DataFrame, columns: list, path: str, pattern: str, schema: str, rows: Callable[[Encoder, str], tuple]) -> DataFrame:
     """Columns of docs, the last one a text, with what rows gives for the text in its place."""
-    sent = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
-    key = xxhash.xxh64_intdigest(path)
+    tokens = read_ranks(path)
+    sent = docs.sparkSession.sparkContext.broadcast(tokens)
+    key = xxhash.xxh64_intdigest(b"\n".join(map(base64.b64encode, tokens)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             encoder = _encoder(sent.value, pattern, key)
             *kept, texts = batch.columns
             for at in range(0, batch.num_rows, 1024):
-                found = [rows(encoder, t.as_py() or "") for t in texts.slice(at, 1024)]
-                out = [c.slice(at, 1024) for c in kept] + [pa.array(c) for c in zip(*found, strict=True)]
+                found = [rows(encoder, (t.as_py() or b"").decode("utf-8", "replace")) for t in texts.slice(at, 1024).cast(pa.large_binary())]
+                out = [c.slice(at, 1024) for c in kept] + [pa.array(list(c), k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
     narrow = docs.select(*columns)
     fields = [f"`{n}` {t}" for n, t in narrow.dtypes[:-1]]
     names = [*narrow.columns[:-1], *(f.split()[0] for f in schema.split(", "))]
+    kinds = [{"long": pa.int64(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}[f.split()[1]] for f in schema.split(", ")]
     return narrow.mapInArrow(run, ", ".join([*fields, schema]))
 
 
@@ -172,17 +174,17 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return _mapped(docs, [F.col(id_col).alias("doc_id"), F.col(text_col)], path, pattern, "ids array<long>", ids)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: the ids of its whole text, and what they decode to.
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) of every row: sums of the ids of its whole text, and of what they decode to.
 
     A null text counts as empty and has no tokens. Rows are mapped one by one, so repeated rows repeat and other columns don't matter.
     """
     decimal = list(map(str, range(len(read_ranks(path)))))
 
-    def digest(encoder: Encoder, text: str) -> tuple[int, str, str]:
+    def digest(encoder: Encoder, text: str) -> tuple:
         ids = encoder.encode(text)
         written = " ".join(map(decimal.__getitem__, ids)).encode()
-        return len(ids), hashlib.sha256(written).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest()
+        return len(ids), hashlib.sha256(written).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest(), *([ids] if keep_ids else [])
 
     columns = [F.col(id_col).alias("doc_id"), F.col(text_col)]
-    return _mapped(docs, columns, path, pattern, "n_tokens long, ids_sha256 string, decoded_sha256 string", digest)
+    return _mapped(docs, columns, path, pattern, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * keep_ids, digest)

@@ -86,7 +86,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     """The rows of docs, each as often as mix takes it; columns of any names stay."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     sizes = durable(_measured(docs, id_col, source_col, text_col, seed))
-    taken = _mixed(sizes, _measured(docs, id_col, source_col, text_col, seed, row), weights).where("times > 0")
+    taken = _mixed(sizes, _measured(docs, id_col, source_col, text_col, seed, row), weights).where("times > 0 AND size > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
 
 
