@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,9 +11,13 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.names import edge_key, entity_key
 from ledgerloom.operators.access import restricted
 from ledgerloom.operators.analytics import ranked_once
+from ledgerloom.operators.retrieval import merged, scored, top
+from ledgerloom.session import durable
 
 # What a line without a readable score or weight gets.
 KEY_SCORE, WEIGHT = 50, 1.0
+# The least score of a node near a question, the score of one found by its name, and the characters of a chunk that go into a batch.
+LEAST_SCORE, TEXT_SCORE, BATCH_CHARS = 0.5, 0.5, 4000
 #: Stands between the descriptions of one node or edge.
 BETWEEN = " | "
 
@@ -128,27 +134,28 @@ def node_edges(edges: DataFrame, nodes: DataFrame, direction: str = "both") -> D
 def reached(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(node, hops): nodes within so many hops of the start nodes, with the least number of hops.
 
-    Each hop joins only the nodes that the hop before found first; a node is never entered again.
+    Each hop joins only the nodes that the hop before found first; a node is never entered again. What a hop finds is written out, so that the next one starts from it.
     """
-    ways = both_ways(edges).select("node", "other").distinct()
-    seen = start.select("node").distinct().withColumn("hops", F.lit(0))
+    ways = durable(both_ways(edges).select("node", "other").distinct())
+    seen = durable(start.select("node").distinct().withColumn("hops", F.lit(0)))
     front = seen
     for hop in range(1, depth + 1):
         found = front.join(ways, "node").select(F.col("other").alias("node")).distinct()
-        front = found.join(seen, "node", "left_anti").withColumn("hops", F.lit(hop))
+        front = durable(found.join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)))
         seen = seen.unionByName(front)
     return seen
 
 
-def paths(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(path): the simple paths of up to so many edges from the start nodes, in the edges' direction."""
+def paths(edges: DataFrame, start: DataFrame, depth: int, most: int | None = None) -> DataFrame:
+    """(path): the simple paths of up to so many edges from the start nodes, in the edges' direction; at most `most` of them, the shortest first."""
     steps = edges.select(F.col("src").alias("last"), F.col("tgt").alias("to")).distinct()
     front = start.select(F.col("node").alias("last"), F.array("node").alias("path"))
     found = None
     for _ in range(depth):
         front = front.join(steps, "last").where(~F.array_contains("path", F.col("to"))).select(F.col("to").alias("last"), F.array_append("path", F.col("to")).alias("path"))
         found = front if found is None else found.unionByName(front)
-    return found.select("path")
+    found = found.select("path")
+    return found if most is None else found.orderBy(F.size("path"), "path").limit(most)
 
 
 def named(nodes: DataFrame, name: str, exact: bool = False, acl: DataFrame | None = None) -> DataFrame:
@@ -176,3 +183,40 @@ def chunks_of(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
     """Each chunk that a node comes from, once."""
     wanted = nodes.select(F.explode("chunk_ids").alias("chunk_id")).distinct()
     return chunks.join(wanted, "chunk_id", "left_semi")
+
+
+def similar_nodes(nodes: DataFrame, question: Sequence[float], k: int, key: str, least: float = LEAST_SCORE, acl: DataFrame | None = None, sources: Sequence[str] = (), vector: str = "embedding") -> DataFrame:
+    """The k nodes or edges nearest to a question, of at least a score; with acl those that a readable document mentions, else, if any are given, those of some sources."""
+    rows = readable(nodes, acl) if acl is not None else nodes.where(F.arrays_overlap("document_ids", F.array(*map(F.lit, sources)))) if sources else nodes
+    return top(scored(rows, question, vector), k, key, least)
+
+
+def hybrid_nodes(nodes: DataFrame, question: Sequence[float], text: str, k: int, key: str, least: float = LEAST_SCORE, acl: DataFrame | None = None) -> DataFrame:
+    """The k best of the nodes nearest to a question and of those whose name holds a text, which count TEXT_SCORE; a node of both counts as near."""
+    near = similar_nodes(nodes, question, k, key, least, acl)
+    told = named(nodes, text, acl=acl).withColumn("score", F.lit(TEXT_SCORE))
+    return top(merged([near, told], key), k, key)
+
+
+def local_retrieval(nodes: DataFrame, chunks: DataFrame, question: Sequence[float], k: int, key: str, acl: DataFrame | None = None, least: float = LEAST_SCORE) -> tuple[DataFrame, DataFrame]:
+    """The nodes nearest to a question, and each chunk that they come from."""
+    near = similar_nodes(nodes, question, k, key, least, acl)
+    return near, chunks_of(near, chunks)
+
+
+def global_retrieval(edges: DataFrame, nodes: DataFrame, question: Sequence[float], k: int, key: str, node_key: str, acl: DataFrame | None = None, least: float = LEAST_SCORE) -> DataFrame:
+    """The edges nearest to a question, with the names of their ends."""
+    return ends(similar_nodes(edges, question, k, key, least, acl), nodes, node_key)
+
+
+def hybrid_retrieval(nodes: DataFrame, edges: DataFrame, question: Sequence[float], k: int, key: str, acl: DataFrame | None = None, least: float = LEAST_SCORE) -> DataFrame:
+    """(node, hops): the nodes nearest to a question, and those one hop from them."""
+    near = similar_nodes(nodes, question, k, key, least, acl)
+    return reached(readable(edges, acl), near.select(F.col(key).alias("node")), 1)
+
+
+def batches(chunks: DataFrame, document: str, place: str, text: str, n: int, most: int = BATCH_CHARS) -> DataFrame:
+    """(document, batch, chunks, text): each n chunks of a document that follow one another, joined by blank lines, each cut to `most` characters. place counts from 0."""
+    rows = chunks.select(document, F.floor(F.col(place) / n).cast("int").alias("batch"), F.struct(F.col(place).alias("at"), F.left(F.col(text), F.lit(most)).alias("text")).alias("one"))
+    held = rows.groupBy(document, "batch").agg(F.sort_array(F.collect_list("one")).alias("all"))
+    return held.select(document, "batch", F.size("all").alias("chunks"), F.array_join(F.col("all.text"), "\n\n").alias("text"))

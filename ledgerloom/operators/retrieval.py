@@ -23,6 +23,10 @@ CONTEXT_TOKENS, SHARES = 6000, {"chunk": 0.60, "parent": 0.25, "graph": 0.15}
 CACHE_LEAST = {"factual": 0.92, "analytics": 0.90, "summary": 0.88, "definition": 0.85, "default": 0.90}
 CACHE_SECONDS = {"factual": 7 * 86400, "analytics": 3600, "summary": 86400, "definition": 30 * 86400, "default": 86400}
 FEEDBACK, LEAST_CONFIDENCE, MOST_COMPLAINTS = 0.25, 0.5, 3
+# The score from which a search by meaning is enough, and that of a hit by fields.
+ENOUGH, FIELD_SCORE = 0.7, 0.7
+#: Parts of the entries of a workspace.
+CACHE_PARTS = 16
 
 
 def scored(chunks: DataFrame, query: Sequence[float], vector: str = "embedding") -> DataFrame:
@@ -151,13 +155,15 @@ def cache_hits(questions: DataFrame, cache: DataFrame, now: Column) -> DataFrame
     """(question_id, entry_id, score): for each question, the best entry of its workspace that is valid, not expired, of the same intent, near enough, and made of documents that the asker may read.
 
     questions: question_id, workspace_id, intent, embedding, allowed. cache: entry_id, workspace_id, intent, embedding, source_ids, expires_at, is_valid.
-    The join is on workspace and intent.
+    The join is on workspace and intent; a workspace's entries are dealt over CACHE_PARTS parts, each of which brings its best entry of a question.
     """
     least = F.lit(CACHE_LEAST["default"])
     for name, x in CACHE_LEAST.items():
         least = F.when(F.col("intent") == name, x).otherwise(least)
     entries = cache.where(F.col("is_valid") & (F.col("expires_at") > now)).withColumnRenamed("embedding", "entry_embedding")
-    pairs = questions.join(entries, ["workspace_id", "intent"]).withColumn("score", cosine(F.col("embedding"), F.col("entry_embedding")))
+    entries = entries.withColumn("part", F.pmod(F.xxhash64("entry_id"), F.lit(CACHE_PARTS)).cast("int"))
+    asked = questions.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(CACHE_PARTS - 1))))
+    pairs = asked.join(entries, ["workspace_id", "intent", "part"]).withColumn("score", cosine(F.col("embedding"), F.col("entry_embedding")))
     fit = pairs.where((F.col("score") >= least) & covered(F.col("source_ids"), F.col("allowed")))
     return ranked_once(fit.select("question_id", "entry_id", "score"), ["question_id"], [F.desc("score"), F.col("entry_id")])
 
@@ -196,3 +202,36 @@ def embedded(chunks: DataFrame, text: str, model, size: int, batch: int = 64) ->
             yield part.assign(embedding=found)
 
     return chunks.mapInPandas(run, chunks.select("*").schema.add("embedding", "array<float>"))
+
+
+def invalidated(cache: DataFrame, question: str | None = None, workspace: object = None, document: object = None) -> DataFrame:
+    """The cache with the entries of a question, or of a document, no longer valid; with a workspace only its own."""
+    test = F.lit(True) if question is None else F.lower(F.trim("question")) == question.strip().lower()
+    if document is not None:
+        test = test & F.array_contains("source_ids", document)
+    if workspace is not None:
+        test = test & (F.col("workspace_id") == workspace)
+    return cache.withColumn("is_valid", F.col("is_valid") & ~F.coalesce(test, F.lit(False)))
+
+
+def swept(cache: DataFrame, now: Column) -> DataFrame:
+    """The cache without entries that are past their time or no longer valid."""
+    return cache.where(F.col("is_valid") & (F.col("expires_at") > now))
+
+
+def cache_statistics(cache: DataFrame, now: Column) -> DataFrame:
+    """(workspace_id, entries, valid, expired) of each workspace."""
+    late = F.col("expires_at") <= now
+    return cache.groupBy("workspace_id").agg(F.count("*").alias("entries"), F.count_if(F.col("is_valid") & ~late).alias("valid"), F.count_if(late).alias("expired"))
+
+
+def hybrid(by_meaning: DataFrame, by_fields: DataFrame, strategy: str, key: str) -> DataFrame:
+    """Hits of two searches by score, hits by fields with FIELD_SCORE: `vector_first` leaves the fields out if the best hit by meaning scores ENOUGH, `sql_first` leaves meanings out if there is a hit by fields,
+    `parallel` has both. A key may have a hit of each."""
+    near = by_meaning.select(key, "score", F.lit("vector").alias("origin"))
+    told = by_fields.select(key, F.lit(FIELD_SCORE).alias("score"), F.lit("sql").alias("origin"))
+    if strategy == "vector_first":
+        told = told.join(near.where(F.col("score") >= ENOUGH).limit(1).select(F.lit(1).alias("enough")), F.lit(True), "left_anti")
+    elif strategy == "sql_first":
+        near = near.join(told.limit(1).select(F.lit(1).alias("enough")), F.lit(True), "left_anti")
+    return near.unionByName(told)

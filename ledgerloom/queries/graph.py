@@ -71,3 +71,67 @@ def upserted_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def best_customer_of_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("customer"), F.col("c_acctbal").alias("score"))
     return G.best(rows, "nation", "customer")
+
+
+NEAR = """SELECT e.vec_id, e.label, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"""
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[float]]:
+    """Embeddings as nodes, named and mentioned by their label; vector 0 asks."""
+    rows = table(spark, sf_dir, "embeddings")
+    question = rows.where("vec_id = 0").select("embedding").first()
+    label = F.col("label").cast("string")
+    nodes = rows.select("vec_id", F.concat(F.lit("Node "), label).alias("name"), F.array(label).alias("document_ids"), F.array("vec_id").alias("chunk_ids"), "embedding")
+    return nodes, list(question.embedding) if question else []
+
+
+@query(f"SELECT vec_id FROM ({NEAR}) WHERE score >= 0.1 AND label IN (1, 2, 3) ORDER BY score DESC, vec_id LIMIT 15")
+def near_readable_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes near a question that readable documents mention."""
+    nodes, question = _nodes(spark, sf_dir)
+    acl = spark.createDataFrame([("1",), ("2",), ("3",)], "document_id string")
+    return G.similar_nodes(nodes, question, 15, "vec_id", 0.1, acl).select("vec_id")
+
+
+@query(f"SELECT vec_id FROM ({NEAR}) WHERE score >= 0.1 AND label IN (5, 6) ORDER BY score DESC, vec_id LIMIT 15")
+def near_nodes_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, question = _nodes(spark, sf_dir)
+    return G.similar_nodes(nodes, question, 15, "vec_id", 0.1, sources=["5", "6"]).select("vec_id")
+
+
+@query(f"""WITH n AS (SELECT vec_id, score FROM ({NEAR}) WHERE score >= 0.3 ORDER BY score DESC, vec_id LIMIT 20), t AS (SELECT vec_id, 0.5 AS score FROM embeddings WHERE label = 7 AND vec_id NOT IN (SELECT vec_id FROM n))
+SELECT vec_id FROM (SELECT * FROM n UNION ALL SELECT * FROM t) ORDER BY score DESC, vec_id LIMIT 20""")
+def near_or_named_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes near a question, and those whose name holds a text."""
+    nodes, question = _nodes(spark, sf_dir)
+    return G.hybrid_nodes(nodes, question, "node 7", 20, "vec_id", 0.3).select("vec_id")
+
+
+@query(f"SELECT vec_id AS chunk_id FROM ({NEAR}) WHERE score >= 0.1 ORDER BY score DESC, vec_id LIMIT 10")
+def chunks_of_near_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, question = _nodes(spark, sf_dir)
+    chunks = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"))
+    return G.local_retrieval(nodes, chunks, question, 10, "vec_id", least=0.1)[1]
+
+
+@query(f"SELECT vec_id, 'Node ' || CAST(label AS VARCHAR) AS src_name, 'Node ' || CAST((label + 1) % 10 AS VARCHAR) AS tgt_name FROM ({NEAR}) WHERE score >= 0.1 ORDER BY score DESC, vec_id LIMIT 10")
+def near_edges_with_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges near a question, with the names of their ends."""
+    nodes, question = _nodes(spark, sf_dir)
+    edges = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("src"), ((F.col("label") + 1) % 10).alias("tgt"), "embedding")
+    labels = spark.range(10).select(F.col("id").cast("int").alias("label"), F.concat(F.lit("Node "), F.col("id").cast("string")).alias("name"))
+    return G.global_retrieval(edges, labels, question, 10, "vec_id", "label", least=0.1).select("vec_id", "src_name", "tgt_name")
+
+
+@query(f"""WITH n AS (SELECT vec_id, label FROM ({NEAR}) WHERE score >= 0.1 ORDER BY score DESC, vec_id LIMIT 5)
+SELECT vec_id AS node, 0 AS hops FROM n UNION ALL SELECT DISTINCT -1 - CAST(label AS BIGINT), 1 FROM n""")
+def near_nodes_and_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes near a question, and what is one hop from them: every vector is linked to its label."""
+    nodes, question = _nodes(spark, sf_dir)
+    edges = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("src"), (-1 - F.col("label").cast("long")).alias("tgt"))
+    return G.hybrid_retrieval(nodes, edges, question, 5, "vec_id", least=0.1)
+
+
+@query("""SELECT conv_id, CAST(turn // 3 AS INTEGER) AS batch, CAST(count(*) AS INTEGER) AS chunks, string_agg(left(text, 200), chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1, 2""")
+def turns_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.batches(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 3, 200)

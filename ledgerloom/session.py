@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -21,3 +22,14 @@ def session(master: str | None = None, shuffle_partitions: int | None = None) ->
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The rows of df, written to the folder that the session's spark.checkpoint.dir names; what was done before is not done again. Only a local session without one gets a temporary folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
+    return df.checkpoint(eager=True)
