@@ -100,3 +100,71 @@ def missing(planned: DataFrame, outputs: DataFrame, key: str = "task_id") -> Dat
 def versioned(plans: DataFrame, session: str, at: str) -> DataFrame:
     """(session, state, version): the last state of a session and how many it has had."""
     return plans.groupBy(session).agg(F.max_by("state", at).alias("state"), F.count("*").alias("version"))
+
+
+def chunk_tasks(pages: DataFrame, chunks: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """A pending task for each chunk (page_id, chunk_id) of a completed page; those that exist already are left out."""
+    rows = ready(chunks, pages).select("page_id", "chunk_id").distinct()
+    if existing is not None:
+        rows = rows.join(existing, ["page_id", "chunk_id"], "left_anti")
+    return rows.withColumn("status", F.lit("pending")).withColumn("retries", F.lit(0))
+
+
+def skipped_or_claimed(tasks: DataFrame, n: int, key: str, skip: str, retries: int = RETRIES) -> tuple[DataFrame, DataFrame]:
+    """All claimable tasks that are to be skipped, and the next n of the others."""
+    test = F.coalesce(F.col(skip), F.lit(False))
+    return claimable(tasks, retries).where(test), claimed(tasks.where(~test), n, key, retries)
+
+
+def reindexing(tasks: DataFrame, n: int, key: str, retries: int = RETRIES) -> DataFrame:
+    """The next n tasks of the phase that is done over."""
+    return claimed(tasks.where(F.col("phase") == PHASES[0]), n, key, retries)
+
+
+def details(tasks: DataFrame, by: str = "document_id") -> DataFrame:
+    """(by, details): for each phase of a document its counts of states and its percents done, as a map from the phase. A document has few phases."""
+    counts = tasks.groupBy(by, "phase").agg(F.count("*").alias("total"), *(F.count_if(F.col("status") == s).alias(s) for s in STATES))
+    done = progress(F.col("completed") + F.col("skipped"), F.col("total"))
+    one = F.struct("phase", F.struct("total", *STATES, done.alias("percent")).alias("counts"))
+    return counts.groupBy(by).agg(F.map_from_entries(F.sort_array(F.collect_list(one))).alias("details"))
+
+
+def extracted(chunks: DataFrame, by: str = "document_id") -> DataFrame:
+    """(by, entities, relationships, completed, failed): totals of a document's chunks, with the number of those done and failed; nulls count zero."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return chunks.groupBy(by).agg(total("entities"), total("relationships"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"))
+
+
+def extended(sessions: DataFrame, touches: DataFrame, seconds: int, key: str = "session_id") -> DataFrame:
+    """sessions with expires_at so many seconds after their last touch (session_id, at), where that is later."""
+    last = touches.groupBy(key).agg(F.max("at").alias("last"))
+    later = F.col("last") + F.make_dt_interval(secs=F.lit(seconds).cast("decimal(18,6)"))
+    return sessions.join(last, key, "left").withColumn("expires_at", F.greatest("expires_at", later)).drop("last")
+
+
+def recoverable(sessions: DataFrame, now: Column) -> DataFrame:
+    """Sessions that are not past their time and not ended."""
+    return sessions.where((F.col("expires_at") > now) & ~F.col("state").isin("completed", "failed"))
+
+
+def appended(steps: DataFrame, session: str, step: str, value: str) -> DataFrame:
+    """(session, current_step, steps): the results of a session's steps in order, of a repeated step the last one by `at`. A session has few steps."""
+    last = steps.groupBy(session, step).agg(F.max_by(value, "at").alias("value"))
+    return last.groupBy(session).agg(F.max(step).alias("current_step"), F.transform(F.sort_array(F.collect_list(F.struct(F.col(step).alias("n"), "value"))), lambda x: x["value"]).alias("steps"))
+
+
+def merged_outputs(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
+    """One output of each task, its last one, with `place`: where the task came first."""
+    rows = old.withColumn("turn", F.lit(0)).unionByName(new.withColumn("turn", F.lit(1)))
+    rest = [c for c in old.columns if c not in (key, order)]
+    at = F.struct("turn", order)
+    return rows.groupBy(key).agg(F.min(at).alias("place"), *(F.max_by(c, at).alias(c) for c in rest))
+
+
+def outcome(outputs: DataFrame) -> DataFrame:
+    """(tasks, completed, failed, rate, documents): outputs by status, the share that succeeded, and the number of distinct documents."""
+    done = F.count_if(F.col("status") == "completed")
+    documents = outputs.select(F.explode("document_ids").alias("d")).agg(F.count_distinct("d").alias("documents"))
+    rate = F.coalesce(done / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0))
+    counts = outputs.agg(F.count("*").alias("tasks"), done.alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"), rate.alias("rate"))
+    return counts.withColumn("one", F.lit(1)).join(documents.withColumn("one", F.lit(1)), "one").drop("one")
