@@ -20,6 +20,8 @@ SEED = 42
 NODE_ROWS = 512
 #: Parts over which the rows of a large node are dealt while they are marked.
 SALTS = 64
+#: Large nodes that are sent to every task, about 2 MB at most; more of them are joined by a shuffle.
+SENT = 1 << 16
 ALL = (1 << BITS) - 1
 #: A sketch has so many bands of so many bits, and twice 64 bits to check. Texts of shingles with a Jaccard similarity of 0.8 differ in 15 % of the bits, so that 92 % of them, and 99 %
 #: at 0.85, have a band that differs in BAND_BUDGET bits or fewer.
@@ -216,9 +218,12 @@ def near_edges(classes: DataFrame, budget: int = 2, shared: int = 0, check: int
         if not masks:
             parts.append(nodes)
             break
-        deal = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")
-        salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("large", F.lit(True))
-        marked = durable(nodes.withColumn("salt", deal).join(salted, ["mask", "prefix", "salt"], "left").drop("salt"))
+        if large.count() <= SENT:
+            marked = nodes.join(F.broadcast(large.withColumn("large", F.lit(True))), ["mask", "prefix"], "left")
+        else:
+            deal = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")
+            salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("large", F.lit(True))
+            marked = durable(nodes.withColumn("salt", deal).join(salted, ["mask", "prefix", "salt"], "left").drop("salt"))
         parts.append(marked.where("large is null").drop("large"))
         nodes = durable(_entered(marked.where("large"), {m: split_bits(m & ALL, budget) for m in masks}).distinct())
     small = parts[0]

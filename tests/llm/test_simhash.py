@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -47,8 +48,10 @@ def test_against_brute_force(spark):
     assert got == brute(rows)
 
 
-def test_large_nodes_are_split(spark, monkeypatch):
+@pytest.mark.parametrize("sent", [simhash.SENT, 0])
+def test_large_nodes_are_split(spark, monkeypatch, sent):
     monkeypatch.setattr(simhash, "NODE_ROWS", 40)
+    monkeypatch.setattr(simhash, "SENT", sent)
     rnd = random.Random(3)
     hub = rnd.getrandbits(64)
     prints = {hub} | {hub ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) for _ in range(300)}
