@@ -16,11 +16,13 @@ from ledgerloom.llm.suffix_tree import mixed, words_of
 
 BITS = 64
 SEED = 42
-#: Fingerprints that may meet in one task; larger trie nodes are split further.
-NODE_ROWS = 512
+#: Fingerprints that may meet in one task; larger trie nodes are split further, which brings each of their rows budget + 1 times.
+NODE_ROWS = 1 << 13
+#: Rows of whole nodes that a task joins at once, and pairs of nodes or of rows that it holds at once.
+TASK_ROWS, HELD_PAIRS = 1 << 15, 1 << 20
 #: Parts over which the rows of a large node are dealt while they are marked.
 SALTS = 64
-#: Large nodes that are sent to every task, about 2 MB at most; more of them are joined by a shuffle.
+#: Large nodes, or classes of several texts, that are sent to every task, about 5 MB at most; more of them are joined by a shuffle.
 SENT = 1 << 16
 ALL = (1 << BITS) - 1
 #: A sketch has so many bands of so many bits, and twice 64 bits to check. Texts of shingles with a Jaccard similarity of 0.8 differ in 15 % of the bits, so that 92 % of them, and 99 %
@@ -28,6 +30,8 @@ ALL = (1 << BITS) - 1
 BANDS, BAND_BITS, BAND_BUDGET = 20, 32, 2
 #: Bits of the two checks in which similar sketches may differ.
 CHECK_BUDGET = 22
+#: The same for sketches that share a band with the first one of its class. Unrelated texts pass with a chance of 1 in 70,000; copies that resemble the first less than each other pass.
+CLASS_BUDGET = 40
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -103,23 +107,29 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def trie_pairs(keys: np.ndarray, bounds: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of keys within budget bits of each other, inside each of the groups [bounds[i], bounds[i + 1]).
+def trie_pairs(keys: np.ndarray, bounds: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of keys within budget bits of each other, inside each of the groups [bounds[i], bounds[i + 1]), in portions.
 
     keys are distinct in a group and sorted; a trie node is then a range of them. All groups' pairs of nodes are traversed together, a
     bit at a time from the highest: a pair of nodes becomes up to four pairs of children, the unlike ones with one more differing
-    bit, and a pair over the budget is pruned with everything below it.
+    bit, and a pair over the budget is pruned with everything below it. Beyond HELD_PAIRS one half waits until the other is through.
     """
+    zeros: dict[int, np.ndarray] = {}
     lo, hi = bounds[:-1], bounds[1:]
     big = hi - lo > 1
-    a_lo, a_hi = lo[big], hi[big]
-    b_lo, b_hi, err = a_lo, a_hi, np.zeros(len(a_lo), np.int8)
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for bit in reversed(range(BITS)):
-        if not len(a_lo):
-            break
-        zeros = np.concatenate(([0], np.cumsum((keys >> np.uint64(bit) & np.uint64(1)) == 0)))
-        a_mid, b_mid = a_lo + zeros[a_hi] - zeros[a_lo], b_lo + zeros[b_hi] - zeros[b_lo]
+    waiting = [(BITS, lo[big], hi[big], lo[big], hi[big], np.zeros(int(big.sum()), np.int8))]
+    while waiting:
+        bit, a_lo, a_hi, b_lo, b_hi, err = waiting.pop()
+        if len(a_lo) > HELD_PAIRS:
+            half = len(a_lo) // 2
+            waiting += [(bit, *(x[half:] for x in (a_lo, a_hi, b_lo, b_hi, err))), (bit, *(x[:half] for x in (a_lo, a_hi, b_lo, b_hi, err)))]
+            continue
+        bit -= 1
+        if bit < 0 or not len(a_lo):
+            continue
+        if bit not in zeros:
+            zeros[bit] = np.concatenate(([0], np.cumsum((keys >> np.uint64(bit) & np.uint64(1)) == 0)))
+        a_mid, b_mid = (low + zeros[bit][high] - zeros[bit][low] for low, high in ((a_lo, a_hi), (b_lo, b_hi)))
         own = a_lo == b_lo  # a node with itself: its two children meet once
         kinds = (
             (a_lo, a_mid, b_lo, b_mid, err, None),
@@ -138,10 +148,9 @@ def trie_pairs(keys: np.ndarray, bounds: np.ndarray, budget: int) -> tuple[np.nd
         if single.any():
             i, j = a_lo[single], b_lo[single]
             near = np.bitwise_count(keys[i] ^ keys[j]) <= budget
-            left.append(i[near])
-            right.append(j[near])
+            yield i[near], j[near]
             a_lo, a_hi, b_lo, b_hi, err = (x[~single] for x in (a_lo, a_hi, b_lo, b_hi, err))
-    return np.concatenate(left), np.concatenate(right)
+        waiting.append((bit, a_lo, a_hi, b_lo, b_hi, err))
 
 
 def spanning(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -159,11 +168,18 @@ def spanning(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return label
 
 
+def _relabelled(label: np.ndarray, held: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The smallest items reached once these links join those behind the label."""
+    left, right = zip((np.arange(len(label)), label), *held, strict=True)
+    return spanning(len(label), np.concatenate(left), np.concatenate(right))
+
+
 def _join_nodes(budget: int, check: int | None):
     """Links inside each trie node of a partition sorted by (mask, prefix): one edge for each item that is not its group's smallest. Linked are pairs within the budget, and within `check` bits of their checks."""
 
     def links(part: pa.Table) -> pa.RecordBatch:
-        mask, prefix, fp, node = (part.column(c).to_numpy() for c in ("mask", "prefix", "fp", "id"))
+        mask, fp, node = (part.column(c).to_numpy() for c in ("mask", "fp", "id"))
+        prefix = fp & mask
         checks = [part.column(c).to_numpy().view(np.uint64) for c in CHECKS] if check is not None else []
         keys = fp.view(np.uint64)
         order = np.lexsort((keys, prefix, mask))
@@ -172,11 +188,16 @@ def _join_nodes(budget: int, check: int | None):
         mask, prefix, keys, node = mask[once], prefix[once], keys[once], node[once]
         checks = [c[order][once] for c in checks]
         new = np.flatnonzero((mask[1:] != mask[:-1]) | (prefix[1:] != prefix[:-1])) + 1
-        left, right = trie_pairs(keys, np.concatenate(([0], new, [len(keys)])), budget)
-        if check is not None:
-            near = sum(np.bitwise_count(c[left] ^ c[right]).astype(int) for c in checks) <= check
-            left, right = left[near], right[near]
-        label = spanning(len(keys), left, right)
+        label, held, pairs = np.arange(len(keys)), [], 0
+        for left, right in trie_pairs(keys, np.concatenate(([0], new, [len(keys)])), budget):
+            if check is not None:
+                near = sum(np.bitwise_count(c[left] ^ c[right]).astype(int) for c in checks) <= check
+                left, right = left[near], right[near]
+            held.append((left, right))
+            pairs += len(left)
+            if pairs > HELD_PAIRS:
+                label, held, pairs = _relabelled(label, held), [], 0
+        label = _relabelled(label, held)
         moved = label != np.arange(len(label))
         return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], names=["u", "v"])
 
@@ -186,10 +207,11 @@ def _join_nodes(budget: int, check: int | None):
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
-            if rows < 64 * NODE_ROWS:
+            if rows < TASK_ROWS:
                 continue
             part = pa.Table.from_batches(held).combine_chunks()
-            mask, prefix = part.column("mask").to_numpy(), part.column("prefix").to_numpy()
+            mask = part.column("mask").to_numpy()
+            prefix = part.column("fp").to_numpy() & mask
             cut = int(np.argmax((mask == mask[-1]) & (prefix == prefix[-1])))  # the last node may go on in the next batch
             if cut:
                 yield links(part.slice(0, cut))
@@ -209,39 +231,39 @@ def near_edges(classes: DataFrame, budget: int = 2, shared: int = 0, check: int
     fingerprints are entered again, by each part of their remaining bits, until no node is larger; every node is then joined
     in one task. All pairs have to agree on the bits of `shared`. With `check`, classes also have CHECKS, and a pair that differs in more of their bits is none. Where several routes lead to one node, each of them brings all its fingerprints, and the repeats go. At most one edge for each fingerprint and node comes out.
     """
+    prefix = F.col("fp").bitwiseAND(F.col("mask")).alias("prefix")
     nodes = _entered(classes, {None: split_bits(shared, budget)})
     parts = []
     while True:
-        large = nodes.groupBy("mask", "prefix").count().where(F.col("count") > NODE_ROWS).select("mask", "prefix")
+        large = nodes.groupBy("mask", prefix).count().where(F.col("count") > NODE_ROWS).select("mask", "prefix")
         large = durable(large)
         masks = [r.mask for r in large.select("mask").distinct().collect()]  # sets of bits, not of rows
         if not masks:
             parts.append(nodes)
             break
         if large.count() <= SENT:
-            marked = nodes.join(F.broadcast(large.withColumn("large", F.lit(True))), ["mask", "prefix"], "left")
+            marked = nodes.withColumn("prefix", prefix).join(F.broadcast(large.withColumn("large", F.lit(True))), ["mask", "prefix"], "left").drop("prefix")
         else:
             deal = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")
             salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("large", F.lit(True))
-            marked = durable(nodes.withColumn("salt", deal).join(salted, ["mask", "prefix", "salt"], "left").drop("salt"))
+            marked = durable(nodes.withColumn("prefix", prefix).withColumn("salt", deal).join(salted, ["mask", "prefix", "salt"], "left").drop("salt", "prefix"))
         parts.append(marked.where("large is null").drop("large"))
         nodes = durable(_entered(marked.where("large"), {m: split_bits(m & ALL, budget) for m in masks}).distinct())
     small = parts[0]
     for part in parts[1:]:
         small = small.unionByName(part)
-    dealt = small.repartition("mask", "prefix").sortWithinPartitions("mask", "prefix")
+    dealt = small.repartition("mask", prefix).sortWithinPartitions("mask", prefix)
     return dealt.mapInArrow(_join_nodes(budget, check), "u long, v long")
 
 
 def _entered(rows: DataFrame, below: dict[int | None, list[int]]) -> DataFrame:
-    """Rows (id, fp) with each mask that follows their own, and the fingerprint's bits under it."""
+    """Rows (id, fp) with each mask that follows their own."""
     if None in below:
         masks = F.array(*(F.lit(_signed(m)) for m in below[None]))
     else:
         pairs = [x for m, ms in below.items() for x in (F.lit(m), F.array(*(F.lit(_signed(b)) for b in ms)))]
         masks = F.element_at(F.create_map(*pairs), F.col("mask"))
-    out = rows.select("id", "fp", *(c for c in CHECKS if c in rows.columns), F.explode(masks).alias("mask"))
-    return out.withColumn("prefix", F.col("fp").bitwiseAND(F.col("mask")))
+    return rows.select("id", "fp", *(c for c in CHECKS if c in rows.columns), F.explode(masks).alias("mask"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 2, shingle: int = 3) -> DataFrame:
@@ -264,7 +286,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     """(doc_id, component_id): each document and the smallest id that links reach, where texts link whose sets of word shingles have an estimated Jaccard similarity of 0.8 or more.
 
     A text has one long SimHash sketch. Its bands are joined over a trie, each with those of the same number; of the pairs that differ in BAND_BUDGET bits at most, those link that differ in `check` of 128 other bits at
-    most. The estimate blurs the bound: of pairs at 0.8, 0.75, 0.7 and 0.6 about 80, 50, 30 and 5 % pass the check. Equal sketches are one node, and equal bands one class. Nulls, blanks, repeats and other
+    most. Sketches with an equal band are linked to the first of them if they differ in CLASS_BUDGET of those bits at most. The estimate blurs the bound: of pairs at 0.8, 0.75, 0.7 and 0.6 about 80, 50, 30 and 5 % pass the check. Equal sketches are one node, and equal bands one class, which meets others by its first sketch. Nulls, blanks, repeats and other
     columns are as in near_duplicates; texts of fewer words than a shingle link if they have the same words.
     """
     per_fp = BANDS * BAND_BITS // BITS
@@ -294,10 +316,15 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     prints = durable(narrow.mapInArrow(run, "id long, sketch binary"))
     nodes = durable(prints.groupBy("sketch").agg(F.min("id").alias("least")).withColumn("node", F.xxhash64("sketch")))
-    bands = durable(nodes.mapInArrow(banded, "id long, fp long, check_a long, check_b long"))
-    classes = bands.groupBy("fp").agg(F.min(F.struct("id", *CHECKS)).alias("first")).select("fp", "first.*")
-    equal = bands.select("fp", F.col("id").alias("u")).join(classes.select("fp", F.col("id").alias("v")), "fp").where("u != v").select("u", "v")
-    links = near_edges(durable(classes), BAND_BUDGET, ALL ^ ((1 << BAND_BITS) - 1), check)
+    bands = nodes.mapInArrow(banded, "id long, fp long, check_a long, check_b long")
+    first = bands.groupBy("fp").agg(F.min(F.struct("id", *CHECKS)).alias("first"), F.count("*").alias("members"))
+    first = durable(first.select("fp", "first.*", "members"))
+    several = first.where("members > 1").select("fp", F.col("id").alias("v"), *(F.col(c).alias(f"first_{c}") for c in CHECKS))
+    if several.count() <= SENT:
+        several = F.broadcast(several)
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"first_{c}"))) for c in CHECKS), F.lit(0))
+    equal = bands.withColumnRenamed("id", "u").join(several, "fp").where((F.col("u") != F.col("v")) & (apart <= CLASS_BUDGET)).select("u", "v")
+    links = near_edges(first.drop("members"), BAND_BUDGET, ALL ^ ((1 << BAND_BITS) - 1), check)
     found = connected(equal.unionByName(links))
     least = nodes.join(found, "node").groupBy("component").agg(F.min("least").alias("reached"))
     named = nodes.join(found.join(least, "component"), "node", "left").select("sketch", F.coalesce("reached", "least").alias("component_id"))

@@ -76,7 +76,18 @@ def test_empty_table_and_nulls(spark):
     assert got == [(-1, -1), (-1, 4), (4, 4), (4, 4)]
 
 
-def test_a_node_reached_by_several_routes_loses_no_link(spark):
+def test_pairs_come_in_portions(monkeypatch):
+    rnd = random.Random(4)
+    keys = np.array(sorted({rnd.getrandbits(9) << 30 for _ in range(300)}), np.uint64)
+    bounds = np.array([0, len(keys) // 3, len(keys)])
+    monkeypatch.setattr(simhash, "HELD_PAIRS", 50)
+    got = [pair for left, right in simhash.trie_pairs(keys, bounds, 2) for pair in zip(left.tolist(), right.tolist())]
+    wanted = {(i, j) for a, b in zip(bounds[:-1], bounds[1:]) for i in range(a, b) for j in range(i + 1, b) if bin(int(keys[i] ^ keys[j])).count("1") <= 2}
+    assert len(got) == len(wanted) and {tuple(sorted(p)) for p in got} == wanted
+
+
+def test_a_node_reached_by_several_routes_loses_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "NODE_ROWS", 512)
     rnd = random.Random(11)
     high = rnd.getrandbits(46) << 18
     prints = np.array(sorted({high | rnd.getrandbits(18) for _ in range(3000)}), np.uint64)
