@@ -19,7 +19,7 @@ SEED = 42
 #: Fingerprints that may meet in one task; larger trie nodes are split further, which brings each of their rows budget + 1 times.
 NODE_ROWS = 1 << 13
 #: Rows of whole nodes that a task joins at once, and pairs of nodes or of rows that it holds at once.
-TASK_ROWS, HELD_PAIRS = 1 << 15, 1 << 20
+TASK_ROWS, HELD_PAIRS = 1 << 15, 1 << 17
 #: Parts over which the rows of a large node are dealt while they are marked.
 SALTS = 64
 #: Large nodes, or classes of several texts, that are sent to every task, about 5 MB at most; more of them are joined by a shuffle.
