@@ -7,14 +7,17 @@ import hashlib
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens that a worker remembers before it forgets them all.
-REMEMBERED = 500_000
+#: Pre-tokens that a worker remembers before it forgets them all, about 60 MB.
+REMEMBERED = 1 << 18
+#: Bytes of texts whose results a task holds at once, or one text.
+PORTION = 1 << 20
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -156,10 +159,15 @@ def _mapped(docs: DataFrame, columns: list, path: str, pattern: str, schema: str
         for batch in batches:
             encoder = _encoder(sent.value, pattern, key)
             *kept, texts = batch.columns
-            for at in range(0, batch.num_rows, 1024):
-                found = [rows(encoder, (t.as_py() or b"").decode("utf-8", "replace")) for t in texts.slice(at, 1024).cast(pa.large_binary())]
-                out = [c.slice(at, 1024) for c in kept] + [pa.array(list(c), k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(out, names=names)
+            found, done, size = [], 0, 0
+            for i, t in enumerate(texts.cast(pa.large_binary())):
+                data = t.as_py() or b""
+                found.append(rows(encoder, data.decode("utf-8", "replace")))
+                size += len(data)
+                if size >= PORTION or i + 1 == batch.num_rows:
+                    out = [c.slice(done, len(found)) for c in kept] + [pa.array(list(c), k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays(out, names=names)
+                    found, done, size = [], i + 1, 0
 
     narrow = docs.select(*columns)
     fields = [f"`{n}` {t}" for n, t in narrow.dtypes[:-1]]
@@ -184,7 +192,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     def digest(encoder: Encoder, text: str) -> tuple:
         ids = encoder.encode(text)
         written = " ".join(map(decimal.__getitem__, ids)).encode()
-        return len(ids), hashlib.sha256(written).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest(), *([ids] if keep_ids else [])
+        return len(ids), hashlib.sha256(written).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest(), *([np.array(ids, np.int64)] if keep_ids else [])
 
     columns = [F.col(id_col).alias("doc_id"), F.col(text_col)]
     return _mapped(docs, columns, path, pattern, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * keep_ids, digest)
