@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, credentials, inner_product, language, mixing, ogg, personal, ring, simhash, suffix_tree
+from ledgerloom.llm import bpe, credentials, inner_product, language, lexical_search, mixing, ogg, page_text, personal, resampling, ring, simhash, suffix_tree
 from ledgerloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,10 +54,25 @@ def op10_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.detect(table(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    named = (op1_simhash, op2_suffix_tree, op3_ogg, op4_inner_product, op5_mixing, op6_ring, op7_bpe, op8_language, op9_credentials, op10_personal)
+    named = (
+        op1_simhash, op2_suffix_tree, op3_ogg, op4_inner_product, op5_mixing, op6_ring, op7_bpe, op8_language, op9_credentials, op10_personal,
+        op11_resampling, op12_lexical_search, op13_page_text,
+    )
     return {q.__name__: q for q in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_inner_product": inner_product.TOP_K_SQL}
+    return {"op4_inner_product": inner_product.TOP_K_SQL, "op11_resampling": resampling.RESAMPLE_SQL, "op12_lexical_search": lexical_search.SEARCH_SQL}
