@@ -215,9 +215,9 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, the k other rows of the greatest inner product.
 
     Products are of floor(scale * component) in whole numbers. Ties go to the smaller id. Rows with a null id, and vectors that are null or hold a null or non-finite component, take no part;
-    shorter vectors count as filled up with zeros. Equal vectors have equal scores, and only the k + 1 of them with the least ids can be answers to a query, so a
-    large group of them is one candidate with that many ids. Ids are expected to be distinct; rows that repeat one are candidates each, up to k + 1 of equal ones, and as a query
-    they share one list of k. A query alone in its table has no row.
+    shorter vectors count as filled up with zeros. Equal vectors have equal scores, and only those of the k + 1 least ids can be answers to a query, k
+    rows of each, so of a large group of them no more are kept. Rows that repeat an id are candidates each; as a query
+    equal ones are one, unlike ones share one list of k, and neither is an answer to the other. A query alone in its table has no row.
 
     Vectors are sorted by descending length over the whole table and packed into blocks. Every cell of a grid holds up to `asked` queries and sees one of `parts` parts of the
     blocks, the longest first, so that its queries' bounds rise fast; it hands on k rows of each query. A cell holds its queries, one block and k answers of each query.
@@ -228,11 +228,13 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
     dim = dim or 1
     kind = np.dtype(np.int16 if max(-(low or 0), high or 0) < 1 << 15 else np.int64)
     turn = rotation(rows, dim)
-    place = F.row_number().over(Window.partitionBy("norm", "x").orderBy("id"))  # each task keeps k + 1 of equal vectors before they are shuffled
-    longest = rows.withColumn("place", place).where(F.col("place") <= k + 1).drop("place")
+    # of equal vectors the k + 1 least ids, and k rows of each; each task keeps that many before they are shuffled
+    repeat = F.row_number().over(Window.partitionBy("norm", "x", "id").orderBy("id"))
+    place = F.dense_rank().over(Window.partitionBy("norm", "x").orderBy("id"))
+    longest = rows.withColumn("repeat", repeat).where(F.col("repeat") <= k).drop("repeat").withColumn("place", place).where(F.col("place") <= k + 1).drop("place")
     bands = max(1, -(-n // asked))
     blocks = "ids binary, x binary, norm double, turn long"
-    queries = rows.where(F.col("id") % every == 0).mapInArrow(_blocks(dim, kind), blocks)
+    queries = rows.where(F.col("id") % every == 0).distinct().mapInArrow(_blocks(dim, kind), blocks)
     questions = queries.select(F.pmod("turn", F.lit(bands)).alias("band"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(True).alias("query"), "ids", "x", "norm")
     ordered = longest.repartitionByRange(F.desc("norm"), "id").sortWithinPartitions(F.desc("norm"), "id").mapInArrow(_blocks(dim, kind), blocks)
     seen = ordered.select(F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"), F.pmod("turn", F.lit(parts)).alias("part"), F.lit(False).alias("query"), "ids", "x", "norm")
@@ -252,7 +254,7 @@ WITH fit AS (
     AND len([c for c in embedding if c IS NULL OR isnan(c) OR isinf(c)]) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(CAST(q.x AS DOUBLE[]), CAST(v.x AS DOUBLE[])) AS BIGINT) AS score
-  FROM fit q JOIN fit v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0
+  FROM (SELECT DISTINCT vec_id, x FROM fit WHERE vec_id % 20 = 0) q JOIN fit v ON q.vec_id <> v.vec_id
 ), ranked AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
 )

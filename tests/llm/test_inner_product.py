@@ -7,12 +7,20 @@ import pytest
 from ledgerloom.llm import inner_product as ip
 
 
+def ranked(rows, k=20, every=20):
+    """The answers as a list, in which rows of one id stand as often as they are among the best."""
+    dot = lambda a, b: sum(math.floor(64 * x) * math.floor(64 * y) for x, y in zip(a, b))
+    for q in {i for i, _ in rows if i % every == 0}:
+        best = sorted((-dot(x, y), i) for x in {tuple(v) for i, v in rows if i == q} for i, y in rows if i != q)[:k]
+        yield from ((q, r, i, -s) for r, (s, i) in enumerate(best, 1))
+
+
 def brute(rows, k=20, every=20):
     fit = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     dot = lambda a, b: sum(x * y for x, y in zip(a, b))
     out = set()
     for q in {q for q, _ in fit if q % every == 0}:
-        best = sorted((-dot(x, y), i) for p, x in fit if p == q for i, y in fit if i != q)[:k]
+        best = sorted((-dot(x, y), i) for x in {tuple(x) for p, x in fit if p == q} for i, y in fit if i != q)[:k]
         out |= {(q, r, i, -s) for r, (s, i) in enumerate(best, 1)}
     return out
 
@@ -44,6 +52,14 @@ def test_few_rows(spark):
     assert {tuple(r) for r in ip.top_k(frame).collect()} == brute([(20, [1.0]), (3, [-2.0]), (40, [0.5])])
 
 
+@pytest.mark.parametrize("rows", [
+    [(0, [1.0, 2.0])] * 25 + [(1, [1.0, 2.0]), (2, [1.0, 2.0])], [(0, [1.0])] * 3 + [(7, [1.0])] * 40 + [(8, [1.0]), (9, [0.5])], [(i // 2, [1.0, 1.0]) for i in range(90)] + [(20, [3.0, 1.0])],
+])
+def test_repeated_ids_among_equal_vectors(spark, rows):
+    got = [tuple(r) for r in ip.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()]
+    assert sorted(got) == sorted((q, r, i, s) for q, r, i, s in ranked(rows))
+
+
 @pytest.mark.parametrize("lengths", ["skewed", "equal"])
 def test_blocks_are_pruned_without_loss(monkeypatch, lengths):
     monkeypatch.setattr(ip, "HELD", 1 << 13)
