@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,24 +16,36 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Parts into which documents of one source and length are dealt, to rank them.
 DEALT = 256
-#: Words of budget left to the dynamic program; what is above is met by the longest documents first.
+#: Words of budget left to the dynamic program at first; what is above is met by the longest documents.
 EXACT = 1 << 16
 
 
 def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many documents of each length to take, so that their words come nearest to the budget from below.
 
-    Takes each length's share of the budget, rounded down, then the longest that fit, until EXACT words are left; a bounded-knapsack
-    dynamic program over the remaining documents fits these. Each count is split into powers of two, each used once or not.
+    Takes each length's share of the budget, rounded down, and fits what is left by a dynamic program over the other documents. If that doesn't come as near as the lengths' common divisor allows, documents are given back,
+    four times as many words each time, until it does or until nothing is taken beforehand, so that the program has gone through all that can be taken.
     """
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget >= total:
         return list(counts)
-    taken = [c * budget // total for c in counts]
+    nearest = budget - budget % math.gcd(*lengths)
+    taken, reach = _fitted(lengths, counts, [c * budget // total for c in counts], budget, EXACT)
+    window, whole = EXACT, False
+    while reach < nearest and not whole:
+        whole = window >= budget
+        taken, reach = _fitted(lengths, counts, [c * max(0, budget - window) // total for c in counts], budget, window)
+        window *= 4
+    return taken
+
+
+def _fitted(lengths: list[int], counts: list[int], taken: list[int], budget: int, most: int) -> tuple[list[int], int]:
+    """taken with more documents, and their words: the longest that fit until `most` words are left, then those that a bounded knapsack fits. Each count is split into powers of two, each used once or not."""
+    taken = list(taken)
     left = budget - sum(n * t for n, t in zip(lengths, taken, strict=True))
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     for i in order:
-        more = min(counts[i] - taken[i], max(0, left - EXACT) // lengths[i])
+        more = min(counts[i] - taken[i], max(0, left - most) // lengths[i])
         taken[i] += more
         left -= more * lengths[i]
     reached = np.zeros(left + 1, bool)
@@ -50,11 +64,12 @@ def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
             many -= step
             step *= 2
     at = int(np.flatnonzero(reached)[-1])
+    reach = budget - left + at
     while at:
         i, step = items[by[at]]
         taken[i] += step
         at -= step * lengths[i]
-    return taken
+    return taken, reach
 
 
 def _level(sources: DataFrame) -> float:

@@ -14,14 +14,27 @@ def test_fit_is_exact_on_small_cases():
         taken = mixing.fit(lengths, counts, budget)
         assert all(0 <= t <= c for t, c in zip(taken, counts))
         got = sum(n * t for n, t in zip(lengths, taken))
-        kept = [c * budget // total for c in counts] if budget < total else counts
-        start = sum(n * k for n, k in zip(lengths, kept))
-        sums = {start}
-        for n, c, k in zip(lengths, counts, kept):
-            sums = {s + n * j for s in sums for j in range(c - k + 1)}
+        sums = {0}
+        for n, c in zip(lengths, counts):
+            sums = {s + n * j for s in sums for j in range(c + 1)}
         assert got == max(s for s in sums if s <= budget)
 
 
+def test_fit_is_exact_where_few_long_documents_are_left(monkeypatch):
+    rnd = random.Random(3)
+    for small in (1 << 16, 64):
+        monkeypatch.setattr(mixing, "EXACT", small)
+        for _ in range(12):
+            lengths, counts = rnd.sample(range(70_000, 90_000), 8), [rnd.randint(1, 3) for _ in range(8)]
+            budget = rnd.randint(0, sum(n * c for n, c in zip(lengths, counts)))
+            sums = {0}
+            for n, c in zip(lengths, counts):
+                sums = {s + n * j for s in sums for j in range(c + 1)}
+            taken = mixing.fit(lengths, counts, budget)
+            assert all(0 <= t <= c for t, c in zip(taken, counts))
+            assert sum(n * t for n, t in zip(lengths, taken)) == max(s for s in sums if s <= budget)
+
+
 def test_fit_of_large_budgets():
     lengths, counts = list(range(5, 3000, 7)), [10_000_000] * 428
     budget = 10**12 + 12345
