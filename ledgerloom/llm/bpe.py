@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Pre-tokens that a worker remembers before it forgets them all, about 60 MB.
 REMEMBERED = 1 << 18
+#: Displacements that are tried at once.
+TRIED = 256
 #: Bytes of texts whose results a task holds at once, or one text.
 PORTION = 1 << 20
 
@@ -31,53 +33,55 @@ class PerfectHash:
     """A minimal perfect hash of distinct keys: as many places as keys, each key in its own.
 
     Keys fall into buckets by one half of their hash. The largest buckets first, each gets the least displacement of the other half that leads all
-    its keys to free places; a bucket with one key gets a free place itself, stored as a negative number.
+    its keys to free places; a bucket with one key gets a free place itself, stored as a negative number. Displacements are tried by arrays of TRIED.
     """
 
     def __init__(self, keys: list[bytes]):
         self.n = len(keys)
         self.buckets = max(1, self.n // 4)
-        self.shift = [0] * self.buckets
-        self.place: list[int] = [-1] * self.n
-        groups: dict[int, list[tuple[int, int]]] = {}
-        for i, key in enumerate(keys):
-            h = xxhash.xxh64_intdigest(key)
-            groups.setdefault((h & 0xFFFFFFFF) % self.buckets, []).append((h >> 32, i))
-        free = None
-        for bucket in sorted(groups, key=lambda b: (-len(groups[b]), b)):
-            members = groups[bucket]
+        hashes = np.array([xxhash.xxh64_intdigest(k) for k in keys], np.uint64)
+        bucket, high = (hashes & np.uint64(0xFFFFFFFF)) % np.uint64(self.buckets), hashes >> np.uint64(32)
+        shift, place = np.zeros(self.buckets, np.int64), np.full(self.n, -1, np.int64)
+        order = np.argsort(bucket, kind="stable")
+        first = np.flatnonzero(np.diff(bucket[order].astype(np.int64), prepend=-1))
+        size = np.diff(first, append=self.n)
+        single = []
+        for g in np.argsort(-size, kind="stable"):
+            members = order[first[g] : first[g] + size[g]]
             if len(members) == 1:
-                free = free if free is not None else [p for p in range(self.n) if self.place[p] < 0]
-                at = free.pop()
-                self.place[at] = members[0][1]
-                self.shift[bucket] = -at - 1
+                single.append(int(members[0]))
                 continue
-            d = 0
-            while True:
-                at = [self._mixed(high, d) for high, _ in members]
-                if len(set(at)) == len(at) and all(self.place[p] < 0 for p in at):
-                    break
-                d += 1
-            for p, (_, i) in zip(at, members, strict=True):
-                self.place[p] = i
-            self.shift[bucket] = d
-
-    def _mixed(self, high: int, d: int) -> int:
-        return ((high ^ d * 0x9E3779B1) * 0x85EBCA6B + (d << 7) >> 13) % self.n
+            d, found = 0, np.zeros(0, np.int64)
+            while not len(found):
+                at = np.sort(self._mixed(high[members], np.arange(d, d + TRIED, dtype=np.uint64)[:, None]), axis=1)
+                found = np.flatnonzero((place[at] < 0).all(axis=1) & (np.diff(at, axis=1) != 0).all(axis=1))
+                d += TRIED
+            d += int(found[0]) - TRIED
+            place[self._mixed(high[members], np.uint64(d))] = members
+            shift[bucket[members[0]]] = d
+        for member, at in zip(single, np.flatnonzero(place < 0).tolist(), strict=True):
+            place[at] = member
+            shift[bucket[member]] = -at - 1
+        self.shift, self.place = shift.tolist(), place.tolist()
+
+    def _mixed(self, high: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """A place for the upper half of a hash and a displacement, both below 2^32."""
+        turned = (high ^ (d * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF))) * np.uint64(0x85EBCA6B)
+        return (((turned >> np.uint64(13)) + d) % np.uint64(self.n)).astype(np.int64)
 
     def index(self, key: bytes) -> int:
         """The place's key number; right only if the key is one of them, so that the caller compares the key."""
         h = xxhash.xxh64_intdigest(key)
         d = self.shift[(h & 0xFFFFFFFF) % self.buckets]
-        return self.place[-d - 1 if d < 0 else self._mixed(h >> 32, d)]
+        return self.place[-d - 1 if d < 0 else ((((h >> 32 ^ d * 0x9E3779B1 & 0xFFFFFFFF) * 0x85EBCA6B) >> 13) + d) % self.n]
 
 
 class Encoder:
     """Encodes and decodes by a ranked vocabulary."""
 
-    def __init__(self, tokens: list[bytes], pattern: str):
+    def __init__(self, tokens: list[bytes], pattern: str, whole: PerfectHash | None = None):
         self.tokens = tokens
-        self.whole = PerfectHash(tokens)
+        self.whole = whole or PerfectHash(tokens)
         self.ranks = {t: i for i, t in enumerate(tokens)}
         self.split = regex.compile(pattern).findall
         self.known: dict[str, list[int]] = {}
@@ -141,23 +145,23 @@ class Encoder:
 _encoders: dict[tuple[int, str], Encoder] = {}
 
 
-def _encoder(tokens: list[bytes], pattern: str, key: int) -> Encoder:
+def _encoder(tokens: list[bytes], whole: PerfectHash, pattern: str, key: int) -> Encoder:
     """A worker's own encoder, kept between its tasks."""
     if (key, pattern) not in _encoders:
         _encoders.clear()
-        _encoders[key, pattern] = Encoder(tokens, pattern)
+        _encoders[key, pattern] = Encoder(tokens, pattern, whole)
     return _encoders[key, pattern]
 
 
 def _mapped(docs: DataFrame, columns: list, path: str, pattern: str, schema: str, rows: Callable[[Encoder, str], tuple]) -> DataFrame:
     """Columns of docs, the last one a text, with what rows gives for the text in its place."""
     tokens = read_ranks(path)
-    sent = docs.sparkSession.sparkContext.broadcast(tokens)
+    sent = docs.sparkSession.sparkContext.broadcast((tokens, PerfectHash(tokens)))  # as large as the vocabulary; the hash is built once, here
     key = xxhash.xxh64_intdigest(b"\n".join(map(base64.b64encode, tokens)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            encoder = _encoder(sent.value, pattern, key)
+            encoder = _encoder(*sent.value, pattern, key)
             *kept, texts = batch.columns
             found, done, size = [], 0, 0
             for i, t in enumerate(texts.cast(pa.large_binary())):
