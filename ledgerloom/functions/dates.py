@@ -83,18 +83,31 @@ def clock(text: Column) -> Column:
     return F.when(hour.isNotNull(), F.format_string("%02d:%02d:%02d", hour, F.regexp_extract(text, pattern, 2).try_cast("int"), second))
 
 
-#: What date texts look like inside a longer text; an earlier alternative wins where two begin together.
+# What date texts look like inside a longer text, in the order in which they are looked for.
 ANYWHERE = (
-    r"\d{1,2}/\d{1,2}/\d{4}(?:\s+\d{1,2}:\d{2}(?::\d{2})?\s*(?:AM|PM)?)?|\d{4}-\d{2}-\d{2}"
-    r"|\b[A-Za-z]+\s+\d{1,2},?\s+\d{4}|\d{1,2}\s+[A-Za-z]+\s+\d{4}"
+    r"\d{1,2}/\d{1,2}/\d{4}\s+\d{1,2}:\d{2}(?::\d{2})?\s*(?:AM|PM)?",
+    r"\d{4}-\d{2}-\d{2}",
+    r"\d{1,2}/\d{1,2}/\d{4}",
+    r"\w+\s+\d{1,2},\s+\d{4}",
+    r"\w+\s+\d{1,2}\s+\d{4}",
+    r"\d{1,2}\s+\w+\s+\d{4}",
 )
 
 
 def find_dates(text: Column) -> Column:
-    """Dates in a text, in order, each read under the text's own locale; what is no date is left out."""
-    spoken = F.regexp_extract_all(text, F.lit("(?i)" + ANYWHERE), F.lit(0))
-    dates = F.transform(spoken, lambda raw: resolve(F.regexp_replace(F.regexp_replace(raw, r"\s+\d{1,2}:.*$", ""), r"\s+", " "), day_first(text)))
-    return F.filter(dates, lambda d: d.isNotNull())
+    """Dates in a text, first those of the first pattern, each read under the text's own locale; what is no date is left out, and a date that one pattern has found is not read again by the next."""
+    begin = F.struct(text.alias("rest"), day_first(text).alias("days"), F.array().cast("array<date>").alias("found"))
+
+    def step(acc: Column, pattern: Column) -> Column:
+        bare = lambda raw: F.regexp_replace(F.regexp_replace(raw, r"\s+\d{1,2}:.*$", ""), r"\s+", " ")
+        read = F.transform(F.regexp_extract_all(acc["rest"], pattern, F.lit(0)), lambda raw: F.struct(raw.alias("raw"), resolve(bare(raw), acc["days"]).alias("date")))
+        right = F.array(F.filter(read, lambda x: x["date"].isNotNull()))  # so that it is made once
+        after = lambda all_: F.struct(
+            F.aggregate(all_, acc["rest"], lambda left, x: F.replace(left, x["raw"], F.lit("; "))).alias("rest"), acc["days"].alias("days"), F.concat(acc["found"], F.transform(all_, lambda x: x["date"])).alias("found")
+        )
+        return F.get(F.transform(right, after), F.lit(0))
+
+    return F.aggregate(F.array(*(F.lit("(?i)" + p) for p in ANYWHERE)), begin, step, lambda acc: acc["found"])
 
 
 def with_dates(text: Column) -> Column:

@@ -5,21 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Suffixes of company names, in the order they are taken off, and known short forms.
+# Suffixes of company names, in the order in which they are taken off, known names with what they stand for, and the ratio from which names are alike.
 COMPANY_SUFFIXES = (
-    "incorporated", "inc", "corporation", "corp", "company", "co", "limited", "ltd", "llc", "llp", "lp", "plc", "gmbh", "sa", "ag", "group",
-)
-ALIASES = {"amazon.com": "amazon", "amzn": "amazon", "msft": "microsoft", "ibm corp": "ibm", "wal-mart": "walmart"}
+    r"\s+inc\.?$", r"\s+incorporated$", r"\s+corp\.?$", r"\s+corporation$", r"\s+llc\.?$", r"\s+ltd\.?$", r"\s+limited$", r"\s+co\.?$", r"\s+company$", r"\s+plc\.?$", r"\s+gmbh$",
+    r"\s+ag$", r"\s+sa$", r"\s+srl$", r"\s+pty\.?\s*ltd\.?$", r"\s+pte\.?\s*ltd\.?$",
+)
+ALIASES = {
+    "amazon.com": "Amazon", "amazon.ca": "Amazon", "amazon.co.uk": "Amazon", "amzn": "Amazon", "amazon web services": "AWS", "aws": "AWS",
+    "google llc": "Google", "google inc": "Google", "google cloud": "Google Cloud", "gcp": "Google Cloud",
+    "microsoft corporation": "Microsoft", "microsoft corp": "Microsoft", "msft": "Microsoft", "azure": "Microsoft Azure",
+    "apple inc": "Apple", "apple computer": "Apple",
+    "github inc": "GitHub", "github": "GitHub", "slack technologies": "Slack", "zoom video communications": "Zoom", "dropbox inc": "Dropbox", "atlassian": "Atlassian", "jira": "Atlassian", "confluence": "Atlassian",
+    "stripe inc": "Stripe", "paypal inc": "PayPal", "paypal": "PayPal", "square inc": "Square",
+    "fedex": "FedEx", "federal express": "FedEx", "ups": "UPS", "united parcel service": "UPS", "usps": "USPS", "dhl": "DHL",
+}
 ALIKE = 85
 
 
 def entity_name(name: Column, organization: bool = True) -> Column:
-    """A name in lower case with single spaces, without company suffixes and closing punctuation, known short forms replaced; null gives the empty name."""
-    pairs = F.create_map(*(F.lit(x) for pair in ALIASES.items() for x in pair))
+    """A name in lower case with single spaces, without company suffixes and closing punctuation; a known name, with or without its suffix, as what it stands for. Null gives the empty name."""
+    pairs = F.create_map(*(F.lit(x) for known, name in ALIASES.items() for x in (known, name.lower())))
     base = F.regexp_replace(F.lower(F.trim(F.coalesce(name, F.lit("")))), r"\s+", " ")
     bare = base
-    if organization:
-        bare = F.regexp_replace(bare, rf"(?:[,\s]+(?:{'|'.join(COMPANY_SUFFIXES)})\.?)+$", "")
+    for suffix in COMPANY_SUFFIXES if organization else ():
+        bare = F.regexp_replace(bare, suffix, "")
     bare = F.regexp_replace(bare, r"[,.\-'\"]+$", "")
     return F.trim(F.coalesce(F.try_element_at(pairs, base), F.try_element_at(pairs, bare), bare))
 
@@ -37,16 +46,16 @@ def indel_ratio(a: Column, b: Column) -> Column:
         start = F.array(F.lit(0))
         return F.aggregate(chars(b), start, lambda acc, y: F.array_append(acc, F.when(x == y, F.get(before, F.size(acc) - 1) + 1).otherwise(F.greatest(F.get(before, F.size(acc)), F.element_at(acc, -1)))))
 
-    common = F.element_at(F.aggregate(chars(a), begin, row), -1)
+    kept = F.element_at(F.aggregate(chars(a), begin, row), -1)
     total = F.length(a) + F.length(b)
-    return F.when(total == 0, 100.0).otherwise(200.0 * common / total)
+    return F.when(total == 0, 100.0).otherwise(200.0 * kept / total)
 
 
 def alike(a: Column, b: Column, least: int = ALIKE) -> Column:
     """Whether two names mean the same: equal in normal form, one within the other, or of a ratio of at least `least`. Empty names are like none."""
-    x, y = entity_name(a), entity_name(b)
-    near = (x == y) | x.contains(y) | y.contains(x) | (indel_ratio(x, y) >= least)
-    return F.coalesce((a != "") & (b != "") & near, F.lit(False))
+    pair = F.array(F.struct(entity_name(a).alias("x"), entity_name(b).alias("y")))  # so that normal forms are made once
+    near = lambda p: (p["x"] == p["y"]) | p["x"].contains(p["y"]) | p["y"].contains(p["x"]) | (indel_ratio(p["x"], p["y"]) >= least)
+    return F.coalesce((a != "") & (b != "") & F.exists(pair, near), F.lit(False))
 
 
 def slug(name: Column) -> Column:

@@ -166,11 +166,12 @@ def named(nodes: DataFrame, name: str, exact: bool = False, acl: DataFrame | Non
 
 
 def readable(rows: DataFrame, acl: DataFrame | None) -> DataFrame:
-    """Nodes or edges of which a readable document is a source; edges carry their documents as nodes do."""
+    """Nodes or edges of which a readable document is a source; edges carry their documents as nodes do. Only the different lists of documents are opened, and rows stay as many as they were."""
     if acl is None:
         return rows
-    kept = restricted(rows.select(*rows.columns, F.explode("document_ids").alias("document_id")), acl)
-    return kept.drop("document_id").distinct()
+    lists = rows.select("document_ids").distinct()
+    kept = restricted(lists.select("document_ids", F.explode("document_ids").alias("document_id")), acl).select("document_ids").distinct()
+    return rows.join(kept, "document_ids", "left_semi").select(rows.columns)
 
 
 def ends(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:

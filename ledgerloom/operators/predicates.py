@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.names import entity_name
+from ledgerloom.functions.names import entity_name, indel_ratio
 from ledgerloom.functions.scoring import is_tabular
 
 # File extensions and document types that a graph is not made of, other names of such types, and the types whose rows are tables.
@@ -152,20 +152,17 @@ def hard(entities: Sequence[str], question: str) -> bool:
     return any(e.lower() in low for e in entities) and any(w in low for w in TARGETING)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Percent of the characters of two texts that an alignment by insertions and deletions keeps, estimated from their edit distance."""
-    longest = F.length(a) + F.length(b)
-    return F.when(longest == 0, 100.0).otherwise(100.0 * (longest - F.levenshtein(a, b)) / longest)
-
-
 def name_match(name: Column, wanted: Sequence[str], alike: float = ALIKE) -> Column:
     """How a name matches one of the wanted ones, tried in order: `exact` as they are or normalized, `substring` either way, `fuzzy`; null if it doesn't, or is empty."""
-    own = entity_name(name)
-    found = None
-    for w in (entity_name(F.lit(x)) for x in wanted):
-        part = F.when((F.lower(name) == w) | (own == w), "exact").when(own.contains(w) | w.contains(own), "substring").when(likeness(own, w) >= alike, "fuzzy")
-        found = part if found is None else F.coalesce(found, part)
-    return F.when(F.coalesce(F.length(own), F.lit(0)) > 0, found)
+    forms = [entity_name(F.lit(w)) for w in wanted]
+    both = F.array(F.struct(F.lower(name).alias("low"), entity_name(name).alias("own")))  # so that the normal form is made once
+
+    def test(n: Column) -> Column:
+        own = n["own"]
+        kinds = [F.when((n["low"] == w) | (own == w), "exact").when(own.contains(w) | w.contains(own), "substring").when(indel_ratio(own, w) >= alike, "fuzzy") for w in forms]
+        return F.when(F.coalesce(F.length(own), F.lit(0)) > 0, F.coalesce(*kinds))
+
+    return F.get(F.transform(both, test), F.lit(0)) if forms else F.lit(None).cast("string")
 
 
 def naming(documents: DataFrame, items: DataFrame, wanted: Sequence[str], names: Sequence[str], array: str | None = None, key: str = "document_id", text: str = "description") -> DataFrame:

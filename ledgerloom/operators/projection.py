@@ -132,9 +132,9 @@ def schema_groups(documents: DataFrame, most: int = 10, kind: str = "schema_type
 
 def distinct_items(items: DataFrame, key: str, number: str, data: str) -> DataFrame:
     """Items of a document without those whose data an earlier one has, whatever the order of its fields."""
-    sorted_data = F.array_sort(F.map_entries(data))
-    first = items.groupBy(key, sorted_data.alias("sorted")).agg(F.min(number).alias(number))
-    return items.join(first.select(key, number), [key, number], "left_semi")
+    rows = items.withColumn("_sorted", F.array_sort(F.map_entries(data)))
+    first = rows.groupBy(key, "_sorted").agg(F.min(number).alias(number))
+    return rows.join(first, [key, "_sorted", number], "left_semi").select(items.columns)
 
 
 def without_repeats(rows: DataFrame, page: str, at: str, category: str, text: str, box: str, most: int = 5) -> DataFrame:

@@ -132,6 +132,6 @@ def near_nodes_and_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.hybrid_retrieval(nodes, edges, question, 5, "vec_id", least=0.1)
 
 
-@query("""SELECT conv_id, CAST(turn // 3 AS INTEGER) AS batch, CAST(count(*) AS INTEGER) AS chunks, string_agg(left(text, 200), chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1, 2""")
+@query("""SELECT conv_id, CAST(turn // 3 AS INTEGER) AS batch, CAST(count(*) AS INTEGER) AS chunks, string_agg(left(text, 4000), chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1, 2""")
 def turns_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.batches(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 3, 200)
+    return G.batches(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 3)

@@ -98,7 +98,7 @@ def distinct_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     once = first.groupBy("l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber").count()
     data = F.create_map(F.lit("flag"), c("l_returnflag"), F.lit("state"), c("l_linestatus"))
     found = J.distinct_items(once.select(c("l_orderkey").alias("document_id"), c("l_linenumber").alias("line_number"), data.alias("data")), "document_id", "line_number", "data")
-    return found.groupBy("document_id", F.array_sort(F.map_values("data")).alias("d")).agg(F.min("line_number").alias("line_number")).select("document_id", "line_number")
+    return found.select("document_id", "line_number")
 
 
 @query("""WITH r AS (SELECT event_id, user_id AS page, event_type AS category, CAST(trunc(value / 10) AS BIGINT) AS txt, CAST(trunc(value * 10) AS BIGINT) AS box FROM events),

@@ -57,13 +57,12 @@ def packed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.packed(turns, "conv_id", "turn", "text", 200)
 
 
-@query(f"""WITH a AS (SELECT vec_id, label, 0 AS list FROM ({SCORES}) WHERE vec_id % 3 = 0), b AS (SELECT vec_id, label, 1 AS list FROM ({SCORES}) WHERE vec_id % 2 = 0)
-SELECT vec_id, label, CASE WHEN vec_id % 3 = 0 THEN 'vector' ELSE 'fields' END AS origin FROM (SELECT vec_id, label FROM a UNION SELECT vec_id, label FROM b)""")
+@query(f"SELECT vec_id, label, CASE WHEN score >= 0.05 THEN 'vector' ELSE 'fields' END AS origin FROM ({SCORES})")
 def merged_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of two searches, each once, from the first that has it."""
+    """Hits of two searches, each once, from the first that has it: one by meaning from a score on, one by fields over all rows."""
     rows = _scores(spark, sf_dir).select("vec_id", "label", "score")
-    first = rows.where("vec_id % 3 = 0").withColumn("origin", F.lit("vector"))
-    second = rows.where("vec_id % 2 = 0").withColumn("score", F.lit(0.7)).withColumn("origin", F.lit("fields"))
+    first = rows.where("score >= 0.05").withColumn("origin", F.lit("vector"))
+    second = rows.withColumn("score", F.lit(0.7)).withColumn("origin", F.lit("fields"))
     return R.merged([first, second], "vec_id").select("vec_id", "label", "origin")
 
 
