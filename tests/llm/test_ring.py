@@ -53,3 +53,33 @@ def test_empty_and_fewer_rows_than_shards(spark):
     assert ring.assign(docs).collect() == []
     docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     assert sorted(r.slot for r in ring.assign(docs).collect()) == [0, 0]
+
+
+def test_each_key_goes_where_a_walk_of_single_keys_leads(spark):
+    """All keys of a place offer themselves, step by step, to the next virtual node clockwise, and each finds its shard and slot on its own."""
+    from pyspark.sql import functions as F
+
+    rows = [(i * 37 % 5000, f"t{i}") for i in range(1500)] + [(7, None)] * 40 + [(None, "n")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for shards, virtual in ((24, ring.VIRTUAL), (5, 3)):
+        keyed = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).collect()
+        nodes = ring.virtual_nodes(shards, virtual)
+        waiting = {}
+        for r in keyed:
+            raw = (r.text or "").encode()
+            waiting.setdefault(r.h % ring.PLACES, []).append((r.h, r.doc_id or 0, len(raw) + 8, zlib.crc32(raw), r.doc_id))
+        free = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+        room, want = list(free), Counter()
+        first = {p: next((i for i, (at, _) in enumerate(nodes) if at >= p), 0) for p in waiting}
+        for keys in waiting.values():
+            keys.sort()
+        for step in range(len(nodes)):
+            for p in sorted(waiting):
+                shard = nodes[(first[p] + step) % len(nodes)][1]
+                while waiting[p] and room[shard]:
+                    _, _, size, crc, doc = waiting[p].pop(0)
+                    want[doc, size, crc, shard, free[shard] - room[shard]] += 1
+                    room[shard] -= 1
+        assert not any(waiting.values())
+        got = Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in ring.assign(docs, shards, virtual=virtual).collect())
+        assert got == want

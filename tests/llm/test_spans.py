@@ -131,3 +131,68 @@ def test_redaction(spark):
     docs = spark.createDataFrame([(text,), ("plain",), (None,), ("",)], "text string")
     got = [r.t for r in docs.select(personal.redacted(docs.text, {}).alias("t")).collect()]
     assert got == ["é mail <email> and <phone>, <ip>!", "plain", None, ""]
+
+
+def test_ownership_against_counting_each_value(spark):
+    rnd = random.Random(9)
+    values = ["ghp_" + c * 36 for c in "abcdef"] + ["xoxb-" + c * 12 for c in "xyz"] + ["AKIA" + c * 16 for c in "ABC"]
+    bits = [*values, *values, "password=hunter22", "https://u:pw@h", "plain", "é"]
+    rows = [(i % 150, " ".join(rnd.choices(bits, k=rnd.randint(0, 4))), rnd.choice(["a", "a", "a", "b", None])) for i in range(160)] + [(None, values[0], "a"), (7, None, "b")]
+    more = {k: re.compile(p.replace(r"(?i)", ""), re.I if p.startswith("(?i)") else 0) for k, p in credentials.MORE.items()}
+
+    def candidates(text):
+        out = [(m.start(), 0, m.end(), "assign", m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+        out += [(m.start(), 1, m.end(), "access", m[0]) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        out += [(m.start(), 2, m.end(), "hex", m[0]) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        return out + [(m.start(), 3 + i, m.end(), k, m[0]) for i, (k, p) in enumerate(more.items()) for m in p.finditer(text)]
+
+    held = {}
+    for doc, text, owner in rows:
+        for *_, value in candidates(text or ""):
+            held.setdefault(value, set()).add((owner, doc))
+    for owners, repositories in ((1, 10), (2, 30), (1, 3)):
+        own = {v: len({o for o, _ in s}) <= owners and len(s) <= repositories for v, s in held.items()}
+        want = []
+        for doc, text, _ in rows:
+            found = candidates(text or "")
+            kept = sorted((a, rank, k, b) for a, rank, b, k, v in found if rank < 3 or own[v])
+            want.append((doc, written([(a, r, k, b) for a, r, k, b in kept]), sum(own[v] for *_, v in found), sum(not own[v] for *_, v in found), max((len(held[v]) for *_, v in found), default=0)))
+        got = [(r.doc_id, r.spans, r.n_owned, r.n_copied, r.n_repositories) for r in credentials.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), owners=owners, repositories=repositories).collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_added_spans_against_a_plain_classifier(spark):
+    rnd = random.Random(12)
+    bits = [
+        "call me at 555-123-4567", "order 555-123-4567", "version (716) 555-8176", "ssn 123-45-6789", "total 000-12-3456", "My name is Maria Gomez", "Dr. Zed", "account DE89 3704 0044 0532 0130 00",
+        "figure 111-11-1111", "plain words", "a.b@c.de", "\n",
+    ]
+    docs = [" ".join(rnd.choices(bits, k=rnd.randint(0, 5))) for _ in range(120)]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    weights = personal.learn(frame)
+    plain = {k: re.compile(p.replace(r"\p{Lu}", "[A-Z]").replace(r"\p{Ll}", "[a-z]")) for k, p in personal.MORE.items()}
+    cues, counter = re.compile(personal.CUES), re.compile(personal.COUNTER_CUES)
+
+    def odds(kind, value, before):
+        digits = re.sub("[^0-9]", "", value)
+        wrong = kind == "national_id" and re.search(r"^(?:000|666|9)|-00-|-0000$", value)
+        strong = kind == "national_id" and not wrong or kind == "account" and re.search("[0-9]{6}", value)
+        votes = [
+            1 if strong else -1 if wrong else 0, 1 if re.search(rf"\b(?:{'|'.join(personal.GIVEN_NAMES)})\b", value.lower()) else 0, 1 if cues.search(before) else 0, -1 if counter.search(before) else 0,
+            0 if not digits else 1 if len(digits) - digits.count(digits[0]) >= 2 else -1,
+        ]
+        return sum(weights.get(f, 0.0) for f in personal.features(kind, votes))
+
+    added = 0
+    got = {r.doc_id: r.spans for r in personal.detect(frame, weights=weights).collect()}
+    for i, text in enumerate(docs):
+        want = personal_data(text)
+        for j, (kind, p) in enumerate(plain.items()):
+            end = 0
+            for m in p.finditer(text):
+                if odds(kind, m[0], text[end : m.start()][-40:]) > 0:
+                    want.append((m.start(), 4 + j, kind, m.end()))
+                    added += 1
+                end = m.end()
+        assert got[i] == written(sorted(want)), text
+    assert added > 50
