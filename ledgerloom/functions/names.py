@@ -84,6 +84,11 @@ def entity_key(workspace: Column, kind: Column, name: Column) -> Column:
     return F.md5(F.concat_ws(":", workspace, kind, F.lower(F.trim(name))))
 
 
+def document_entity_key(workspace: Column, document: Column, kind: Column, name: Column) -> Column:
+    """Key of an entity within one document of a workspace."""
+    return F.md5(F.concat_ws(":", workspace, document, F.lower(kind), F.trim(F.lower(name))))
+
+
 def edge_key(workspace: Column, a: Column, b: Column) -> Column:
     """Key of an edge without direction."""
     return F.md5(F.concat_ws(":", workspace, F.least(a, b), F.greatest(a, b)))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import hashlib
+import io
 import re
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -35,6 +37,8 @@ COLUMN_KINDS = (
     ("Category fields (for grouping)", ("category", "type", "status", "group", "class", "department", "region")),
 )
 SHOWN_COLUMNS, SHOWN_ROWS = 15, 5
+# Tokens of a batch of a delimited text, and those left for what stands around it.
+CSV_TOKENS, CSV_ROOM = 3000, 100
 
 
 class Node(NamedTuple):
@@ -179,6 +183,23 @@ def table_summary(name: str, kind: str, text: str) -> str:
     return "\n".join(out + (["", "## Sample Data", "", *sample] if sample else []))
 
 
+def csv_nodes(text: str, tokens: int = CSV_TOKENS, delimiter: str = ",") -> Iterator[Node]:
+    """Rows of a delimited text in batches that fit so many tokens by the mean of the first ten, each batch with the head in front. A head that leaves no room for rows, and a text without rows, stay whole."""
+    rows = list(csv.reader(io.StringIO(text), delimiter=delimiter))
+    line = lambda row: delimiter.join(row)
+    size = lambda row: len(line(row)) // 4
+    room = tokens - size(rows[0]) - CSV_ROOM if rows else 0
+    if room <= 0 or len(rows) == 1:
+        if text.strip():
+            yield Node("csv", None, (), text)
+        return
+    head, data = rows[0], rows[1:]
+    mean = sum(map(size, data[:10])) / len(data[:10])
+    each = max(1, int(room / mean)) if mean else len(data)
+    for at in range(0, len(data), each):
+        yield Node("csv_rows", None, (str(at + 1), str(min(at + each, len(data)))), "\n".join(map(line, [head, *data[at : at + each]])), line(head))
+
+
 def nodes(strategy: str, text: str, size: int, overlap: int, name: str = "", kind: str = "", skip_rows: bool = False) -> Iterator[Node]:
     """Chunks of a text by a strategy; size is in tokens of four characters, overlap in percent."""
     if not text.strip():
@@ -239,6 +260,11 @@ def clause_chunks(documents: DataFrame, key: str, text: str, size: int = GROUP)
     return _mapped(documents, key, [text], lambda t: clause_nodes(t or "", size))
 
 
+def csv_chunks(documents: DataFrame, key: str, text: str, tokens: int = CSV_TOKENS, delimiter: str = ",") -> DataFrame:
+    """Batches of rows of every delimited text, each with the head; heading_path names the first and the last row of a batch, from 1."""
+    return _mapped(documents, key, [text], lambda t: csv_nodes(t or "", tokens, delimiter))
+
+
 def adaptive_chunks(profiled: DataFrame, key: str, name: str = "filename", text: str = "text") -> DataFrame:
     """Chunks of every document by the strategy of its profile (see doc_types.profiles), with the strategy and the document's type."""
     columns = [name, text, "document_type", "strategy", "chunk_size", "overlap_percent", "skip_rows"]

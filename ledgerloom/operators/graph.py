@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.names import edge_key, entity_key
 from ledgerloom.operators.access import restricted
 from ledgerloom.operators.analytics import ranked_once
+from ledgerloom.operators.descriptions import joined_texts, kept_texts
 from ledgerloom.operators.retrieval import merged, scored, top
 from ledgerloom.session import durable
 
@@ -59,23 +59,9 @@ def linked(edges: DataFrame, workspace: str) -> DataFrame:
     return edges.withColumn("edge_id", edge_key(F.lit(workspace), F.lower("src"), F.lower("tgt")))
 
 
-def _joined_text(texts: pd.Series) -> str:
-    """Texts in order, each unless what is there already contains it."""
-    out = ""
-    for t in texts:
-        if t and t not in out:
-            out = f"{out}{BETWEEN}{t}" if out else t
-    return out
-
-
 def merge_descriptions(rows: DataFrame, key: str, order: str, text: str = "description") -> DataFrame:
-    """(key, description): distinct texts of a key in the order of their first appearance, without those that an earlier one contains.
-
-    Equal texts are reduced to their first before a key's texts meet, so that a key of very many rows brings only its distinct ones.
-    """
-    first = rows.where(F.col(text).isNotNull() & (F.col(text) != "")).groupBy(key, text).agg(F.min(order).alias("at"))
-    kind = dict(rows.dtypes)[key]
-    return first.groupBy(key).applyInPandas(lambda p: pd.DataFrame({key: p[key].iloc[:1], "description": [_joined_text(p.sort_values("at")[text])]}), f"{key} {kind}, description string")
+    """(key, description): distinct texts of a key in the order of their first appearance, without those that an earlier one contains. Which texts stay is found over all tasks, whatever a key has of them."""
+    return joined_texts(kept_texts(rows, key, order, text), key, order, BETWEEN, text)
 
 
 def merged_nodes(rows: DataFrame, key: str = "entity_id", order: str = "at") -> DataFrame:

@@ -77,9 +77,11 @@ def bubbled(tasks: DataFrame, by: str) -> DataFrame:
     return counts.withColumn("status", status)
 
 
-def statistics(tasks: DataFrame) -> DataFrame:
-    """(phase, state counts) of every phase that has tasks; a state without any counts zero."""
-    return tasks.groupBy("phase").agg(*(F.count_if(F.col("status") == s).alias(s) for s in STATES))
+def statistics(tasks: DataFrame, phases: Sequence[str] = PHASES[1:]) -> DataFrame:
+    """(phase, state counts) of every phase, also of one without tasks, but for reindexing; a state without any counts zero. Phases that aren't among the given ones are counted as well."""
+    counts = tasks.groupBy("phase").agg(*(F.count_if(F.col("status") == s).alias(s) for s in STATES))
+    empty = tasks.sparkSession.createDataFrame([(p,) for p in phases], "phase string").join(counts.select("phase"), "phase", "left_anti")
+    return counts.unionByName(empty.select("phase", *(F.lit(0).cast("long").alias(s) for s in STATES)))
 
 
 def progress(done: Column, total: Column) -> Column:

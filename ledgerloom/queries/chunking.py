@@ -113,3 +113,15 @@ def clause_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = C.clause_chunks(shaped, "doc_id", "text").where("chunk_type = 'clause_group'")
     count = groups.groupBy("doc_id").agg(F.sum(F.regexp_count("chunk", F.lit(r"(?m)^(?:\d+\.)+\d*\s+\S"))).cast("long").alias("clauses"))
     return shaped.select("doc_id").join(count, "doc_id", "left").select("doc_id", F.coalesce("clauses", F.lit(0)).alias("clauses"))
+
+
+@query("""SELECT doc_id, len(lines) - 1 AS rows, md5(array_to_string(lines[2:], chr(10))) AS rows_md5 FROM (SELECT doc_id, [replace(replace(l, '"', ''), ',', ';') || ',' || i FOR l, i IN string_split(text, chr(10))] AS lines FROM documents WHERE text IS NOT NULL)
+WHERE len(lines) > 1 AND length(lines[1]) // 4 < 200""")
+def delimited_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of delimited texts from the batches that they are cut in, whose heads are taken off again."""
+    clean = lambda x, i: F.concat(F.replace(F.replace(x, F.lit('"'), F.lit("")), F.lit(","), F.lit(";")), F.lit(","), (i + 1).cast("string"))
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.transform(F.split("text", "\n"), clean).alias("lines"))
+    rows = docs.where((F.size("lines") > 1) & (F.floor(F.length(F.get("lines", F.lit(0))) / 4) < 200)).select("doc_id", F.array_join("lines", "\n").alias("text"))
+    cut = C.csv_chunks(rows, "doc_id", "text", 300).withColumn("own", F.substr("chunk", F.length("table_header") + 2))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "own"))), lambda x: x["own"]), "\n")
+    return cut.groupBy("doc_id").agg(whole.alias("body")).select("doc_id", F.size(F.split("body", "\n")).cast("long").alias("rows"), F.md5("body").alias("rows_md5"))

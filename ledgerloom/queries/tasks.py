@@ -50,7 +50,7 @@ def document_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT phase, count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'processing') AS processing, count(*) FILTER (WHERE status = 'completed') AS completed,
-count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'skipped') AS skipped FROM (SELECT CASE task_id % 2 WHEN 0 THEN 'ocr' ELSE 'vector' END AS phase, status FROM ({FOLDED})) GROUP BY 1""")
+count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'skipped') AS skipped FROM (SELECT CASE task_id % 2 WHEN 0 THEN 'ocr' ELSE 'vector' END AS phase, status FROM ({FOLDED})) GROUP BY 1 UNION ALL SELECT 'graph', 0, 0, 0, 0, 0""")
 def queue_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.statistics(_tasks(spark, sf_dir).withColumn("phase", F.when(F.col("task_id") % 2 == 0, "ocr").otherwise("vector")))
 
@@ -71,7 +71,7 @@ def tasks_without_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3")
 def recent_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
-    return table(spark, sf_dir, "conversations").withColumn("place", place).where("place <= 3").select("conv_id", "turn", "role")
+    return table(spark, sf_dir, "conversations").withColumn("place", place).where("place <= 3").select("conv_id", "turn", "role").sortWithinPartitions("conv_id", "turn")
 
 
 @query("SELECT c_custkey AS conv_id, count(turn) AS messages FROM customer LEFT JOIN conversations ON conv_id = c_custkey GROUP BY 1")
