@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions import dates
 from ledgerloom.functions.numbers import parse_number
@@ -22,6 +23,9 @@ ENTITY_FIELDS = ("vendor_name", "merchant_name", "customer_name", "company_name"
 ENTITY_FILTER_FIELDS = ("vendor_name", "customer_name", "merchant_name", "company_name", "payee", "payer")
 UNKNOWN, ALL = "Unknown", "All"
 TIME_KEYS = {"month": dates.month_key, "quarter": dates.quarter_key, "year": dates.year_key}
+TYPED_KEYS = {
+    "month": lambda d: F.date_format(d, "yyyy-MM"), "quarter": lambda d: F.concat(F.year(d).cast("string"), F.lit("-Q"), F.quarter(d).cast("string")), "year": lambda d: F.year(d).cast("string"),
+}
 MONEY = "decimal(18,2)"
 
 
@@ -84,9 +88,11 @@ def filtered(rows: DataFrame, spec: Spec, date_fields: Sequence[str] = ("date",)
 
 
 def group_key(rows: DataFrame, name: str, date_field: str = "date") -> Column:
-    """The key of a grouping: of the date for month, quarter and year, else the column itself; Unknown where it is missing, All where there is no such column."""
+    """The key of a grouping: of the date for month, quarter and year, else the column itself; Unknown where it is missing, All where there is no such column. A column that holds dates or times, not texts, isn't read."""
     if name in TIME_KEYS:
-        return F.coalesce(TIME_KEYS[name](F.col(date_field).cast("string")), F.lit(UNKNOWN))
+        typed = isinstance(rows.schema[date_field].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
+        key = TYPED_KEYS[name](F.col(date_field)) if typed else TIME_KEYS[name](F.col(date_field).cast("string"))
+        return F.coalesce(key, F.lit(UNKNOWN))
     return F.coalesce(F.nullif(F.col(name).cast("string"), F.lit("")), F.lit(UNKNOWN)) if name in rows.columns else F.lit(ALL)
 
 

@@ -75,7 +75,7 @@ def relevance(question: str, kind: Column, header: Column, fields: Column, names
     words = {w for w in q.split() if len(w) > 2 and w not in STOP}
     sums, data = words & set(AGGREGATIONS), words & set(DATA)
     analytics = any(w in q for w in ANALYTICS)
-    value = lambda c, test, gain: F.when(F.coalesce(test, F.lit(False)), c + gain).otherwise(c)
+    value = lambda c, test, gain: c + F.when(F.coalesce(test, F.lit(False)), gain).otherwise(0.0)
     none = F.lit(None).cast("array<string>")
 
     wanted = asked_names(question)
@@ -95,7 +95,7 @@ def relevance(question: str, kind: Column, header: Column, fields: Column, names
     billed = bill & ~hinted & F.lit(bool(data & set(BILL_WORDS)))
     score = value(value(score, billed, TYPED), text & ~hinted, 0.1)
     if types:
-        score = F.when(known & ~hinted & ~billed, score * MISTYPED).otherwise(score)
+        score = score * F.when(known & ~hinted & ~billed, MISTYPED).otherwise(1.0)
 
     parts = F.transform(F.coalesce(fields, F.array().cast("array<string>")), lambda f: F.split(F.trim(F.regexp_replace(F.lower(f), r"[_\-\s]+", " ")), " "))
     holding = lambda some: F.size(F.filter(parts, lambda p: F.arrays_overlap(p, F.array(*map(F.lit, sorted(some)))))) if some else F.lit(0)
@@ -107,9 +107,10 @@ def relevance(question: str, kind: Column, header: Column, fields: Column, names
     if sums:
         number = lambda _, v: F.regexp_replace(v, r"[.\-]", "").rlike(r"^\d+$")
         score = value(score, F.size(F.map_filter(header, number)) > 0, 0.1)
-    score = F.when(F.coalesce(F.size(fields) > 0, F.lit(False)), score).otherwise(F.greatest(score - 0.2, F.lit(0.1)))
+    bare = ~F.coalesce(F.size(fields) > 0, F.lit(False))
+    score = F.greatest(score - F.when(bare, 0.2).otherwise(0.0), F.when(bare, 0.1).otherwise(0.0))
     if wanted:
-        score = F.when(by_name > 0, score).otherwise(score * UNNAMED)
+        score = score * F.when(by_name > 0, 1.0).otherwise(UNNAMED)
     return F.least(score, F.lit(1.0))
 
 

@@ -29,22 +29,22 @@ QUARTER = "substr(d, 1, 4) || '-Q' || CAST(quarter(o_orderdate) AS VARCHAR)"
 
 @query(_group_sql(ITEMS, MONTH))
 def monthly_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.grouped(item_rows(spark, sf_dir, None), "month")
+    return A.grouped(item_rows(spark, sf_dir, None, parties=False), "month", date_field="day")
 
 
 @query(_group_sql(ITEMS, QUARTER))
 def quarterly_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.grouped(item_rows(spark, sf_dir, None), "quarter")
+    return A.grouped(item_rows(spark, sf_dir, None, parties=False), "quarter", date_field="day")
 
 
 @query(_group_sql(RECORDS, YEAR))
 def yearly_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.grouped(records(spark, sf_dir, None), "year")
+    return A.grouped(records(spark, sf_dir, None, parties=False), "year", date_field="day")
 
 
 @query(_group_sql(RECORDS, "o_orderpriority"))
 def category_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.grouped(records(spark, sf_dir, None), "category")
+    return A.grouped(records(spark, sf_dir, None, parties=False), "category")
 
 
 @query(_group_sql(RECORDS, "c_name"))
@@ -54,7 +54,7 @@ def customer_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_group_sql(RECORDS, "o_orderstatus"))
 def status_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.grouped(records(spark, sf_dir, None), "status")
+    return A.grouped(records(spark, sf_dir, None, parties=False), "status")
 
 
 @query(_group_sql(RECORDS, "r_name"))
@@ -89,25 +89,25 @@ def empty_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT level_1, level_2, CAST(2 - (grouping(level_1) + grouping(level_2)) AS INTEGER) AS depth, {METRICS}
 FROM (SELECT {YEAR} AS level_1, r_name AS level_2, a FROM ({RECORDS})) GROUP BY GROUPING SETS ((level_1, level_2), (level_1), (level_2), ())""")
 def year_region_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.hierarchy(with_region(records(spark, sf_dir, None), spark, sf_dir), ["year", "region"])
+    return A.hierarchy(with_region(records(spark, sf_dir, None), spark, sf_dir), ["year", "region"], date_field="day")
 
 
 @query(f"""SELECT level_1, level_2, level_3, CAST(3 - (grouping(level_1) + grouping(level_2) + grouping(level_3)) AS INTEGER) AS depth, {METRICS}
 FROM (SELECT r_name AS level_1, o_orderstatus AS level_2, {QUARTER} AS level_3, a FROM ({RECORDS})) GROUP BY ROLLUP (level_1, level_2, level_3)""")
 def region_status_quarter_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.hierarchy(with_region(records(spark, sf_dir, None), spark, sf_dir), ["region", "status", "quarter"])
+    return A.hierarchy(with_region(records(spark, sf_dir, None), spark, sf_dir), ["region", "status", "quarter"], date_field="day")
 
 
 @query(f"SELECT o_orderpriority AS category, count(*) AS count, CAST(sum(t) AS DOUBLE) / count(*) AS average FROM (SELECT o_orderpriority, o_orderkey, sum(a) AS t FROM ({ITEMS}) GROUP BY 1, 2) GROUP BY 1")
 def average_per_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.average_per(item_rows(spark, sf_dir, None), "document_id", ["category"])
+    return A.average_per(item_rows(spark, sf_dir, None, parties=False), "document_id", ["category"])
 
 
 @query(f"""SELECT o_orderstatus AS status, count(*) AS documents, CAST(sum(n) AS BIGINT) AS items, CAST(sum(h) AS DOUBLE) AS header_total, CAST(sum(t) AS DOUBLE) AS line_total
 FROM (SELECT o_orderstatus, o_orderkey, count(*) AS n, max(CAST(o_totalprice AS DECIMAL(18,2))) AS h, sum(a) AS t FROM ({ITEMS}) GROUP BY 1, 2) GROUP BY 1""")
 def totals_once_per_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Header totals are not multiplied by the number of lines."""
-    return A.once_per(item_rows(spark, sf_dir, None), "document_id", "header_amount", "amount", ["status"])
+    return A.once_per(item_rows(spark, sf_dir, None, parties=False), "document_id", "header_amount", "amount", ["status"])
 
 
 @query(f"""WITH r AS ({RECORDS}), b AS (SELECT o_orderpriority, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM r GROUP BY 1)
@@ -129,7 +129,7 @@ def accessible_monthly_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only what the access list of one user lets through."""
     own = table(spark, sf_dir, "customer").where("c_nationkey % 5 = 2").select("c_custkey")
     acl = table(spark, sf_dir, "orders").join(own, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select(F.col("o_orderkey").alias("document_id"))
-    return A.grouped(records(spark, sf_dir, acl), "month")
+    return A.grouped(records(spark, sf_dir, acl, parties=False), "month", date_field="day")
 
 
 @query("SELECT count(DISTINCT l_orderkey) AS documents, count(*) AS items FROM lineitem")

@@ -97,12 +97,12 @@ def without_last_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value FROM events GROUP BY 1, 2")
 def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Not an operation of the reference: counts in windows of time."""
+    """An extension: counts in windows of time."""
     return windowed(table(spark, sf_dir, "events"), "ts", "1 day", "1 hour", ("event_type",))
 
 
 @query("""WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
 def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Not an operation of the reference: runs of events without a gap of six hours."""
+    """An extension: runs of events without a gap of six hours."""
     return sessions(table(spark, sf_dir, "events"), "user_id", "ts", "6 hours", "1 hour")

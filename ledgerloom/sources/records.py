@@ -9,12 +9,14 @@ from ledgerloom.operators.access import restricted
 from ledgerloom.tables import table
 
 
-def records(spark: SparkSession, sf_dir: str, acl: DataFrame | None) -> DataFrame:
-    """(document_id, date, entity, status, category, amount, nation_id) of every order; the date is an ISO text."""
+def records(spark: SparkSession, sf_dir: str, acl: DataFrame | None, parties: bool = True) -> DataFrame:
+    """(document_id, date, day, customer_id, status, category, amount, entity, nation_id, segment) of every order; date is an ISO text, day a date. Without parties the last three are left out, and nothing is joined for them."""
     orders = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("document_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_custkey").alias("customer_id"),
+        F.col("o_orderkey").alias("document_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.to_date("o_orderdate").alias("day"), F.col("o_custkey").alias("customer_id"),
         F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("category"), F.col("o_totalprice").alias("amount"),
     )
+    if not parties:
+        return restricted(orders, acl)
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("entity"), F.col("c_nationkey").alias("nation_id"), F.col("c_mktsegment").alias("segment"))
     return restricted(orders, acl).join(customers, "customer_id")
 
@@ -35,9 +37,9 @@ def items(spark: SparkSession, sf_dir: str, acl: DataFrame | None) -> DataFrame:
     return restricted(lines, acl)
 
 
-def item_rows(spark: SparkSession, sf_dir: str, acl: DataFrame | None) -> DataFrame:
+def item_rows(spark: SparkSession, sf_dir: str, acl: DataFrame | None, parties: bool = True) -> DataFrame:
     """Line items with the fields of their record; header_amount is the record's own total, repeated on each line. Records without items have no rows."""
-    headers = records(spark, sf_dir, acl).withColumnRenamed("amount", "header_amount")
+    headers = records(spark, sf_dir, acl, parties).withColumnRenamed("amount", "header_amount")
     return headers.join(items(spark, sf_dir, None), "document_id")
 
 
