@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.broken_json import json_in, json_objects
+from ledgerloom.operators.name_lookup import looked_up
 from ledgerloom.operators.similar_names import representatives, similar_names
 from ledgerloom.registry import query
 from ledgerloom.tables import table
@@ -82,3 +83,18 @@ def salvaged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = F.when(way == 0, c("props")).when(way == 1, F.concat(F.lit("Here:\n```json\n"), c("props"), F.lit("\n```\nDone {it}"))).when(way == 2, F.concat(F.lit("```\n"), c("props"), F.lit("```")))
     answer = answer.when(way == 3, F.concat(F.lit("The answer is "), c("props"), F.lit(" as asked."))).otherwise(F.left(c("props"), F.length("props") - 1))
     return table(spark, sf_dir, "events").where("props IS NOT NULL").select("event_id", F.get_json_object(json_in(answer), "$.k").cast("long").alias("k"))
+
+
+@query(f"""WITH {PARTIES}, wanted AS (SELECT name AS w, min(place) AS place FROM (SELECT name, place FROM names WHERE kind = 'supplier' UNION ALL SELECT name[3:10], place + 1000000 FROM names WHERE kind = 'customer' AND place % 200 = 0) GROUP BY 1),
+n AS (SELECT DISTINCT name FROM names WHERE kind = 'customer' OR place % 3 = 0), f AS (
+  SELECT n.name, w, place, CASE WHEN n.name = w THEN 0 WHEN contains(n.name, w) OR contains(w, n.name) THEN 1 WHEN 200 * (length(w) - bit_count(list_reduce(list_prepend((1::BIGINT << length(w)) - 1,
+    list_transform(string_split(n.name, ''), lambda c: coalesce(list_sum(list_transform(range(1, length(w) + 1), lambda i: CASE WHEN w[i] = c THEN 1::BIGINT << (i - 1) ELSE 0 END)), 0)::BIGINT)),
+    lambda v, m: ((v + (v & m)) | (v - (v & m))) & ((1::BIGINT << length(w)) - 1)))) >= 80 * (length(w) + length(n.name)) THEN 2 END AS way FROM n, wanted
+)
+SELECT name, arg_min(w, place) AS wanted, CASE arg_min(way, place) WHEN 0 THEN 'exact' WHEN 1 THEN 'substring' ELSE 'fuzzy' END AS match FROM f WHERE way IS NOT NULL GROUP BY 1""")
+def names_looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of customers, and some of suppliers, looked up among those of suppliers and parts of customers' names."""
+    rows = _parties(spark, sf_dir)
+    place = F.col("place")
+    wanted = rows.where("kind = 'supplier'").select("name", "place").union(rows.where("kind = 'customer'").where(place % 200 == 0).select(F.substring("name", 3, 8), place + 1000000))
+    return looked_up(rows.where((F.col("kind") == "customer") | (place % 3 == 0)), wanted)

@@ -121,3 +121,27 @@ def test_json_columns(spark):
     df = spark.createDataFrame(rows, "id int, text string")
     got = {r.id: (r.one, r.all) for r in df.select("id", J.json_in(df.text).alias("one"), J.json_objects(df.text).alias("all")).collect()}
     assert got == {1: ('{"a":{"c":"é"},"b":1}', ['{"a":{"c":"é"},"b":1}']), 2: (None, []), 3: (None, []), 4: ('{"k":1}', ['{"k":1}'])}
+
+
+def test_names_are_looked_up_as_one_by_one(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.operators.name_lookup import looked_up
+    from ledgerloom.operators.predicates import name_match
+
+    rnd = random.Random(8)
+    names = [n.strip() for n in variants(8, 60)] + ["Acme Inc.", "ACME", "Acme Trading", "amzn", "", None, "Bolt Ltd", "b"]
+    wanted = [*rnd.sample([n for n in names if n], 12), "acme", "Amazon.com", "Boltt", "zzzz"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {r.name: (r.wanted, r.match) for r in looked_up(df, spark.createDataFrame(list(enumerate(wanted)), "place int, name string")).collect()}
+    tested = df.select("name", *(name_match(F.col("name"), [w], 80).alias(f"w{i}") for i, w in enumerate(wanted))).distinct().collect()
+    want = {}
+    for r in tested:
+        hit = next(((i, r[f"w{i}"]) for i in range(len(wanted)) if r[f"w{i}"]), None)
+        if hit:
+            want[r.name] = hit
+    assert {n: m for n, (_, m) in got.items()} == {n: m for n, (_, m) in want.items()}
+    form = lambda w: spark.createDataFrame([(w,)], "n string").select(names_form(F.col("n")).alias("f")).first().f
+    from ledgerloom.functions.names import entity_name as names_form
+
+    assert all(form(got[n][0]) == form(wanted[i]) for n, (i, _) in list(want.items())[:15])
