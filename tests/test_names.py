@@ -59,6 +59,25 @@ def test_similar_names_finds_every_pair(spark):
     assert all(abs(r.ratio - 200 * lcs(r.first, r.second) / (len(r.first) + len(r.second))) < 1e-9 for r in found)
 
 
+@pytest.mark.parametrize("least", [80, 85])
+def test_unlike_names_share_no_key(least):
+    rnd = random.Random(5)
+    names = ["".join(rnd.choices("0123456789abcdef", k=rnd.choice([14, 15]))) for _ in range(300)]
+    names += [n[:4] + n[5:] for n in names[:40]]
+    holders, lengths = {}, {13, 14, 15}
+    for n in names:
+        for k in S.kept_segments(n, least, lengths):
+            holders.setdefault(k, []).append(n)
+    met = {(min(a, n), max(a, n)) for n in names for k in S.sought_segments(n, least, lengths) for a in holders.get(k, ()) if a != n}
+    assert len(met) >= 40 and all(like(a, b, least) for a, b in met)
+
+
+def test_keys_of_names_are_not_broadcast(spark):
+    names = spark.createDataFrame([(n,) for n in variants(9, 20)], "name string")
+    plan = S.similar_names(names)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [key" in plan and "BroadcastHashJoin [key" not in plan
+
+
 @pytest.mark.parametrize("seed", [2, 3])
 def test_representatives_are_those_of_going_through_in_order(spark, seed):
     names = variants(seed) + ["a" * k for k in range(6, 30)]  # a chain: each is like the next
@@ -145,3 +164,20 @@ def test_names_are_looked_up_as_one_by_one(spark):
     from ledgerloom.functions.names import entity_name as names_form
 
     assert all(form(got[n][0]) == form(wanted[i]) for n, (i, _) in list(want.items())[:15])
+
+
+def test_lookup_broadcasts_neither_keys_nor_runs(spark):
+    import re
+
+    from ledgerloom.operators.name_lookup import looked_up
+
+    names = spark.createDataFrame([(n, i) for i, n in enumerate(variants(11, 20))], "name string, place int")
+    plan = looked_up(names.select("name"), names.where("place % 3 = 0"))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[(key|run)", plan) and not re.search(r"Broadcast\w+Join \[(key|run)", plan)
+
+
+def test_lookup_without_names(spark):
+    from ledgerloom.operators.name_lookup import looked_up
+
+    some, none = spark.createDataFrame([("abc", 1)], "name string, place int"), spark.createDataFrame([], "name string, place int")
+    assert looked_up(some, none).collect() == [] and looked_up(none, some).collect() == [] and looked_up(none, none).collect() == []
