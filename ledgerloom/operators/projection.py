@@ -36,6 +36,11 @@ def _field(data: Column, name: str) -> Column:
     return F.nullif(F.try_element_at(data, F.lit(name)), F.lit(""))
 
 
+def _first_of(data: Column, names: Sequence[str]) -> Column:
+    """What a map has by the first of the named fields that are in it. The map's own few names decide which one that is, so it is looked up once, not once for each name."""
+    return F.try_element_at(data, F.get(F.array_intersect(F.array(*map(F.lit, names)), F.map_keys(data)), F.lit(0)))
+
+
 def first_field(data: Column, names: Sequence[str]) -> Column:
     """The first of the named fields of a map that is neither missing nor empty."""
     return F.coalesce(*(_field(data, n) for n in names))
@@ -64,13 +69,15 @@ def mapped_row(item: Column, header: Column, mappings: Mapping[str, tuple[str, s
 
 def listed_row(item: Column, header: Column) -> list[Column]:
     """The fields of an item that has no mappings, by the names that they usually go by; a missing date is the record's, by the same names."""
+    there = lambda m: F.map_filter(m, lambda _, v: v.isNotNull())
+    full = lambda m: F.map_filter(m, lambda _, v: v != "")
     out = []
     for name, fields in ITEM_FIELDS.items():
         if name in NUMBERS:
-            value = parse_number(F.coalesce(*(F.try_element_at(item, F.lit(f)) for f in fields)))
+            value = parse_number(_first_of(there(item), fields))
         else:
-            value = first_field(item, fields)
-        out.append((F.coalesce(value, first_field(header, fields)) if name == "date" else value).alias(name))
+            value = _first_of(full(item), fields)
+        out.append((F.coalesce(value, _first_of(full(header), fields)) if name == "date" else value).alias(name))
     return out
 
 

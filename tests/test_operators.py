@@ -241,3 +241,18 @@ def test_domain_chunks_and_marks(spark):
     rows = spark.createDataFrame([("E11.9 metformin 500 mg [1, 2] Fig. 3\nExercise 4",), (None,)], "text string")
     one, none = (r.m.asDict() for r in rows.select(texts.marks(F.col("text")).alias("m")).collect())
     assert (one["icd_codes"], one["medications"], one["citations"], one["figures"], one["exercises"]) == (1, 1, 1, 1, 1) and not any(none.values())
+
+
+def test_listed_row_takes_the_first_field_that_counts(spark):
+    from ledgerloom.operators.projection import listed_row
+
+    rows = [
+        (1, {"Date": "", "order_date": "d2", "total": "", "price": "5", "Qty": "1,200", "Type": "t", "category": "c", "Item": "i", "product": "p"}, {"date": "h"}), (2, {"Price": "$7", "price": "8", "Status": None, "order_status": "s"}, {"date": "", "Invoice Date": "h"}),
+        (3, {"Amount": None, "Price": "9", "Area": "a"}, None), (4, None, {"Date": "h"}), (5, {}, {}),
+    ]
+    df = spark.createDataFrame(rows, "id int, data map<string,string>, header map<string,string>")
+    out = df.select("id", *listed_row(df.data, df.header))
+    got = {r.id: r.asDict() for r in out.collect()}
+    want = {1: dict(date="d2", category="c", product="p", quantity=1200.0, amount=None), 2: dict(date="h", amount=7.0, status="s"), 3: dict(amount=9.0, region="a"), 4: dict(date="h"), 5: {}}
+    assert got == {i: dict.fromkeys(out.columns) | {"id": i} | w for i, w in want.items()}
+    assert out._jdf.queryExecution().analyzed().toString().count("try_element_at") < 20  # one lookup for each column, not for each name
