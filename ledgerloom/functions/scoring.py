@@ -106,11 +106,13 @@ def is_tabular(text: Column) -> Column:
     commas = F.transform(F.filter(F.slice(lines, 1, 10), lambda x: F.trim(x) != ""), lambda x: F.regexp_count(x, F.lit(",")).cast("double"))
     middle = F.aggregate(commas, F.lit(0.0), lambda s, x: s + x) / F.size(commas)
     spread = F.aggregate(commas, F.lit(0.0), lambda s, x: s + (x - middle) * (x - middle)) / F.size(commas)
+    # each line of amounts has such a number of its own; looked for first, since the patterns of lines try every place of a text
+    priced = F.regexp_count(text, F.lit(r"\d[.,]\d{2}")) >= 3
     return F.when((F.length(text) < 50) | (F.size(lines) < 3), None).otherwise(
         F.when((bars >= 3) & (rules >= 1), "markdown_table")
         .when(digits_share(text) > 0.4, "high_numeric_density")
-        .when(F.regexp_count(text, F.lit(r".{5,50}\s+\d+\s*[xX×]?\s*[$€£¥]?\d+[.,]\d{2}")) >= 3, "line_items")
-        .when(F.regexp_count(text, F.lit(r"\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}.{10,50}[$€£¥]?\d+[.,]\d{2}")) >= 3, "transaction_list")
+        .when(priced & (F.regexp_count(text, F.lit(r".{5,50}\s+\d+\s*[xX×]?\s*[$€£¥]?\d+[.,]\d{2}")) >= 3), "line_items")
+        .when(priced & (F.regexp_count(text, F.lit(r"\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}.{10,50}[$€£¥]?\d+[.,]\d{2}")) >= 3), "transaction_list")
         .when((F.size(full) >= 8) & (mean < 40), "short_repetitive_lines")
         .when((F.size(lines) >= 5) & (F.array_min(commas) >= 2) & (spread < 2), "csv_like")
     )

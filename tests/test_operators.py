@@ -256,3 +256,14 @@ def test_listed_row_takes_the_first_field_that_counts(spark):
     want = {1: dict(date="d2", category="c", product="p", quantity=1200.0, amount=None), 2: dict(date="h", amount=7.0, status="s"), 3: dict(amount=9.0, region="a"), 4: dict(date="h"), 5: {}}
     assert got == {i: dict.fromkeys(out.columns) | {"id": i} | w for i, w in want.items()}
     assert out._jdf.queryExecution().analyzed().toString().count("try_element_at") < 20  # one lookup for each column, not for each name
+
+
+def test_tabular_texts_of_amounts(spark, tmp_path):
+    from ledgerloom.queries.text import tabular_documents
+
+    prose = "a line of some words without any number in it\n" * 4
+    rows = [(1, prose + "blue paint 2 x $3.50\n" * 3), (2, prose + "blue paint 2 x $3.50\n" * 2), (3, prose + "01/02/2024 a transfer to someone 7.50\n" * 3), (4, prose), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = tabular_documents(spark, str(tmp_path))
+    assert {r.doc_id: r.reason for r in found.collect()} == {1: "line_items", 3: "transaction_list"}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("markdown_table") == 1  # the reason is found once
