@@ -23,15 +23,16 @@ def kept_texts(rows: DataFrame, key: str, order: str, text: str = "description")
     first = durable(first.withColumn("id", F.monotonically_increasing_id()))
     runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - (n - 1), F.lit(1))), lambda i: F.substring("t", i, F.lit(n)))
     every = reduce(lambda a, b: F.concat(a, b), (runs(n) for n in range(1, GRAM + 1)))
-    held = first.select(key, "id", F.explode(F.array_distinct(every)).alias("run"))
-    often = held.groupBy(key, "run").agg(F.count("*").alias("often"))
+    run = F.xxhash64(key, "run").alias("run")  # as a number it is shuffled in fewer bytes; texts of other keys that share one are told apart below
+    held = first.select(key, "id", F.explode(F.array_distinct(every)).alias("run")).select("id", run)
+    often = held.groupBy("run").agg(F.count("*").alias("often"))
     own = F.when(F.length("t") >= GRAM, runs(GRAM)).otherwise(F.array("t"))
-    asked = first.select(key, F.col("id").alias("asks"), F.explode(F.array_distinct(own)).alias("run")).join(often, [key, "run"])
-    rarest = asked.groupBy(key, "asks").agg(F.min_by("run", F.struct("often", "run")).alias("run"))
-    met = rarest.join(held, [key, "run"]).where("asks <> id").select("asks", "id")
-    small = first.select(F.col("id").alias("asks"), F.col("t").alias("small"), F.col("at").alias("small_at"))
-    large = first.select("id", F.col("t").alias("large"), F.col("at").alias("large_at"))
-    inside = met.join(small, "asks").join(large, "id")
+    asked = first.select(key, F.col("id").alias("asks"), F.explode(F.array_distinct(own)).alias("run")).select("asks", run).hint("merge").join(often.hint("merge"), "run")
+    rarest = asked.groupBy("asks").agg(F.min_by("run", F.struct("often", "run")).alias("run"))
+    met = rarest.hint("merge").join(held.hint("merge"), "run").where("asks <> id").select("asks", "id")
+    small = first.select(F.col("id").alias("asks"), F.col(key).alias("small_key"), F.col("t").alias("small"), F.col("at").alias("small_at"))
+    large = first.select("id", F.col(key).alias("large_key"), F.col("t").alias("large"), F.col("at").alias("large_at"))
+    inside = met.join(small, "asks").join(large, "id").where("small_key = large_key")
     gone = inside.where(F.col("large").contains(F.col("small")) & (F.struct("large_at", "large") < F.struct("small_at", "small"))).select(F.col("asks").alias("id")).distinct()
     return first.join(gone, "id", "left_anti").select(key, F.col("at").alias(order), F.col("t").alias(text))
 

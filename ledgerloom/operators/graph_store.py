@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -22,13 +22,13 @@ class Stored:
     texts: DataFrame
 
 
-def batch(rows: DataFrame, key: str, keep: Sequence[str], most: str, order: str = "at") -> Stored:
-    """One batch of nodes or edges as they are found: of each key the first values of `keep`, the greatest of `most`, and its sources and descriptions."""
+def batch(rows: DataFrame, key: str, keep: Sequence[str], most: str, order: str = "at", texts: bool = True) -> Stored:
+    """One batch of nodes or edges as they are found: of each key the first values of `keep`, the greatest of `most`, and its sources and descriptions. A store that is never asked for descriptions has none without `texts`."""
     things = rows.groupBy(key).agg(*(F.min_by(c, order).alias(c) for c in keep), F.max(most).alias(most), F.min(order).alias(order))
-    return Stored(things, rows.select(key, "chunk_id", "document_id").distinct(), kept_texts(rows, key, order))
+    return Stored(things, rows.select(key, "chunk_id", "document_id").distinct(), kept_texts(rows, key, order) if texts else rows.where("false").select(key, order, "description"))
 
 
-def grown(old: Stored, new: Stored, key: str, keep: Sequence[str], most: str, order: str = "at") -> Stored:
+def grown(old: Stored, new: Stored, key: str, keep: Sequence[str], most: str, order: str = "at", texts: bool = True) -> Stored:
     """The store with a batch merged in, whose order goes on from the store's: what was first stays, the greatest score counts, sources and descriptions are added unless they are there.
 
     Descriptions are looked through again for the keys of the batch alone. Merging batches one after the other gives what one batch of all rows gives.
@@ -36,10 +36,11 @@ def grown(old: Stored, new: Stored, key: str, keep: Sequence[str], most: str, or
     both = old.things.unionByName(new.things)
     things = both.groupBy(key).agg(*(F.min_by(c, order).alias(c) for c in keep), F.max(most).alias(most), F.min(order).alias(order))
     sources = old.sources.unionByName(new.sources.join(old.sources, [key, "chunk_id", "document_id"], "left_anti"))
+    if not texts:
+        return Stored(things, sources, old.texts)
     touched = new.things.select(key)
     again = old.texts.join(touched, key, "left_semi").unionByName(new.texts)
-    texts = old.texts.join(touched, key, "left_anti").unionByName(kept_texts(again, key, order))
-    return Stored(things, sources, texts)
+    return Stored(things, sources, old.texts.join(touched, key, "left_anti").unionByName(kept_texts(again, key, order)))
 
 
 def written(store: Stored, folder: str) -> Stored:
@@ -50,9 +51,9 @@ def written(store: Stored, folder: str) -> Stored:
     return Stored(*(spark.read.parquet(f"{folder}/{name}") for name in ("things", "sources", "texts")))
 
 
-def held(store: Stored) -> Stored:
-    """The store cut off from what it was made of, for a next batch in the same job."""
-    return Stored(durable(store.things), durable(store.sources), durable(store.texts))
+def held(store: Stored, parts: Collection[str] = ("things", "sources", "texts")) -> Stored:
+    """The store cut off from what it was made of, for a next batch in the same job. Parts that nobody asks for need not be written."""
+    return Stored(*(durable(rows) if name in parts else rows for name, rows in (("things", store.things), ("sources", store.sources), ("texts", store.texts))))
 
 
 def described(store: Stored, key: str, order: str = "at", between: str = " | ") -> DataFrame:

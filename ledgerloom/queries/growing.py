@@ -27,14 +27,14 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _in_batches(spark: SparkSession, sf_dir: str) -> S.Stored:
-    """Three batches by date, merged one after the other; `place` says which was first."""
+def _in_batches(spark: SparkSession, sf_dir: str, part: str) -> S.Stored:
+    """Three batches by date, merged one after the other; `place` says which was first. The store keeps its things and one other part, sources or texts."""
     rows, stored = _found(spark, sf_dir), None
     cuts = [r[0] for r in rows.select(F.percentile_approx("place", [0.3, 0.7]).alias("c")).select(F.explode("c")).collect()]
     bounds = [F.lit(True) if not cuts else (F.col("place") <= cuts[0]), *([] if not cuts else [(F.col("place") > cuts[0]) & (F.col("place") <= cuts[1]), F.col("place") > cuts[1]])]
     for test in bounds:
-        new = S.batch(rows.where(test), "node", ["name"], "score", "place")
-        stored = S.held(new if stored is None else S.grown(stored, new, "node", ["name"], "score", "place"))
+        new = S.batch(rows.where(test), "node", ["name"], "score", "place", part == "texts")
+        stored = S.held(new if stored is None else S.grown(stored, new, "node", ["name"], "score", "place", part == "texts"), ("things", part))
     return stored
 
 
@@ -42,13 +42,13 @@ def _in_batches(spark: SparkSession, sf_dir: str) -> S.Stored:
 SELECT node, place, description FROM t WHERE NOT EXISTS (SELECT 1 FROM t e WHERE e.node = t.node AND e.place < t.place AND contains(e.description, t.description))""")
 def descriptions_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descriptions of each node that no earlier one contains, from three batches."""
-    return _in_batches(spark, sf_dir).texts.select("node", "place", "description")
+    return _in_batches(spark, sf_dir, "texts").texts.select("node", "place", "description")
 
 
 @query(f"SELECT node, arg_min(name, place) AS name, max(score) AS score, count(DISTINCT chunk_id) AS chunks, count(DISTINCT document_id) AS documents FROM ({FOUND}) GROUP BY 1")
 def nodes_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of three batches with their sources counted."""
-    stored = _in_batches(spark, sf_dir)
+    stored = _in_batches(spark, sf_dir, "sources")
     counted = stored.sources.groupBy("node").agg(F.count_distinct("chunk_id").alias("chunks"), F.count_distinct("document_id").alias("documents"))
     return stored.things.select("node", "name", "score").join(counted, "node")
 

@@ -150,3 +150,13 @@ def test_fused_averages_are_those_of_all_amounts(spark):
     parts = [rows.where(f"kind = '{k}'").groupBy("g").agg(*X.partial(F.col("a"))) for k in ("x", "y")]
     got = {r.g: (r["count"], r.sum, r.average, r.least, r.most) for r in X.fused(parts[0].union(parts[1]), ["g"]).collect()}
     assert got == {"k": (3, 33.3, pytest.approx(11.1), 1.1, 30.0), "l": (0, None, None, None, None), "m": (1, 5.0, 5.0, 5.0, 5.0)}
+
+
+def test_stores_keep_what_they_are_asked_for(spark):
+    rows, node = found(60), dict(key="node", keep=["name"], most="score")
+    bare = S.held(S.grown(S.batch(frame(spark, rows[:30]), **node, texts=False), S.batch(frame(spark, rows[30:]), **node, texts=False), **node, texts=False), ("things", "sources"))
+    full = S.batch(frame(spark, rows), **node)
+    assert sorted(map(tuple, bare.sources.collect())) == sorted(map(tuple, full.sources.collect())) and sorted(map(tuple, bare.things.collect())) == sorted(map(tuple, full.things.collect()))
+    assert bare.texts.count() == 0 and bare.texts.columns == full.texts.columns
+    plan = full.texts._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [run" in plan and "BroadcastHashJoin [run" not in plan  # runs are far more than Spark's estimate
