@@ -1,7 +1,10 @@
 import random
 
+from pyspark.sql import functions as F
+
 from ledgerloom.operators import chunk_trees as C
 from ledgerloom.operators import doc_types as D
+from ledgerloom.operators.text import DOMAINS, domain_scores
 
 TABLE = "| x | y |\n|---|---|\n" + "".join(f"| {i} | b |\n" for i in range(45))
 
@@ -102,3 +105,18 @@ def test_profiles_and_strategies(spark):
     made = C.adaptive_chunks(D.profiles(spark.createDataFrame(rows, "id int, name string, body string"), "id", "name", "body"), "id").collect()
     kinds = {i: {r.chunk_type for r in made if r.id == i} for i in range(1, 10)}
     assert kinds[1] == {"whole_document"} and kinds[4] == {"tabular_summary"} and kinds[7] == {"table_rows"} and kinds[6] == {"clause_group"} and kinds[8] == set()
+
+
+def test_words_of_domains_are_counted_once(spark):
+    shares = domain_scores(F.col("text"))
+    assert all(str(shares).count(p[9:-3]) == 1 for p in DOMAINS.values())
+    rows = spark.createDataFrame([("patient dose invoice",), ("nothing",), (None,)], "text string").select(shares.alias("s")).collect()
+    assert [r.s for r in rows] == [{"legal": 0.0, "medical": 1.0, "financial": 0.5, "academic": 0.0}, dict.fromkeys(DOMAINS, 0.0), dict.fromkeys(DOMAINS)]
+
+
+def test_markers_are_found_whatever_is_searched_first(spark):
+    rows = ["```x", "<pre>", "$$", "\\[", "\\begin{equation}", "[12]", "(Smith, 2001)", "name: ____", "[ ]", "€ 5", "¥12.50", "[x](y)", "$", "", None]
+    marks = D.structure(F.col("text"))
+    plain = F.struct(*(F.coalesce(F.col("text").rlike(D.MARKERS[name]), F.lit(False)).alias(name) for name in D.NEEDLES))
+    for r in spark.createDataFrame([(t,) for t in rows], "text string").select(marks.alias("got"), plain.alias("want")).collect():
+        assert {name: r.got[name] for name in D.NEEDLES} == r.want.asDict()
