@@ -79,10 +79,9 @@ def chunking_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT strategy, skip_score >= 0.6 AS summarized, count(*) AS documents, sum(length(text))::BIGINT AS chars FROM ({SKIPPED}) WHERE length(regexp_replace(text, '\\s', '', 'g')) > 0 GROUP BY ALL")
 def adaptively_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with chunks, and their characters, by the strategy that made the chunks; those told by one summary are counted apart."""
-    profiled = D.profiles(_shaped(spark, sf_dir), "doc_id", "filename", "text")
-    made = C.adaptive_chunks(profiled, "doc_id").groupBy("doc_id").agg(F.max((F.col("chunk_type") == "tabular_summary").cast("int")).alias("summary"))
-    rows = profiled.select("doc_id", "strategy", F.length("text").alias("chars")).join(made, "doc_id")
-    return rows.groupBy("strategy", (F.col("summary") == 1).alias("summarized")).agg(F.count("*").alias("documents"), F.sum("chars").cast("long").alias("chars"))
+    profiled = D.profiles(_shaped(spark, sf_dir), "doc_id", "filename", "text").withColumn("chars", F.length("text"))
+    first = C.adaptive_chunks(profiled, "doc_id", kept=["strategy", "chars"]).where("chunk_index = 0")
+    return first.groupBy("strategy", (F.col("chunk_type") == "tabular_summary").alias("summarized")).agg(F.count("*").alias("documents"), F.sum("chars").cast("long").alias("chars"))
 
 
 @query(f"""WITH lines AS (

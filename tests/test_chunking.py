@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import chunk_trees as C
 from ledgerloom.operators import doc_types as D
 from ledgerloom.operators.text import DOMAINS, domain_scores
+from ledgerloom.queries.chunking import adaptively_chunked
 
 TABLE = "| x | y |\n|---|---|\n" + "".join(f"| {i} | b |\n" for i in range(45))
 
@@ -120,3 +121,13 @@ def test_markers_are_found_whatever_is_searched_first(spark):
     plain = F.struct(*(F.coalesce(F.col("text").rlike(D.MARKERS[name]), F.lit(False)).alias(name) for name in D.NEEDLES))
     for r in spark.createDataFrame([(t,) for t in rows], "text string").select(marks.alias("got"), plain.alias("want")).collect():
         assert {name: r.got[name] for name in D.NEEDLES} == r.want.asDict()
+
+
+def test_each_document_counts_once_whatever_its_id(spark, tmp_path):
+    rows = [(1, "plain words " * 20, "a"), (1, "other words", "a"), (1, " ", "a"), (None, "no id", "a"), (2, None, "a"), (3, "line\n" * 2000, "b")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = adaptively_chunked(spark, str(tmp_path)).collect()
+    assert sum(r.documents for r in got) == 5
+    profiled = D.profiles(spark.createDataFrame(rows, "doc_id long, text string, filename string"), "doc_id", "filename", "text")
+    chunks = C.adaptive_chunks(profiled, "doc_id", kept=["strategy", "tokens"]).collect()
+    assert {(r.doc_id, r.strategy, r.tokens) for r in chunks} == {(1, "whole_document", 60), (1, "whole_document", 2), (None, "whole_document", 1), (3, "paragraph", 2500)}
