@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +17,16 @@ from ledgerloom.llm.common import remainder, text_bytes
 
 #: Words of the longest context.
 DEPTH = 2
-#: A context has been seen so often at least, and has its suffix in the tree.
+#: A context has been seen so often at least.
 LEAST = 2
 #: It stays if its next-word estimates diverge from its suffix's by so many nats a word, and by so many in all.
 DIVERGENCE, EVIDENCE = 0.005, 12.0
 #: Occurrences that a suffix's estimate counts for in a longer context's.
 PRIOR = 16.0
-#: A context seen more often is always in the tree, and its followers are dealt over several buckets.
+#: Followers of a context seen more often are dealt over several buckets; if growth is gated by suffixes, such a context is always in the tree.
 HOT = 1 << 20
+#: The lowest byte of a key that asks for the evidence of a part of such a context; followers have 0 there.
+MARK = np.uint64(1)
 #: Bytes of text in a group, and of text whose contexts share a bucket.
 GROUP_BYTES, BUCKET_BYTES = 5 << 20, 8 << 20
 #: Bytes that are cut into words at once.
@@ -203,13 +206,13 @@ def _totals(asked: pa.Table) -> pa.Table:
     return pa.table({"n": pa.array([int(n.sum())]), "words": pa.array([int((n > 0).sum())])})
 
 
-def _count(level: int, prior: float):
-    """Answers to the requests of a bucket: twice the count of each key, and one more if its context stays in the tree."""
+def _count(level: int, prior: float, tested: bool = True):
+    """Answers to the requests of a bucket: twice the count of each key, and one more if its context diverges. A part of a hot context answers to its MARK with what its followers add to the context's evidence."""
 
     def run(asked: pa.Table) -> pa.Table:
         keys, n, bits, place, ends = _summed(asked)
         codes = 2 * n.astype(np.uint64)
-        if level:
+        if level and tested:
             context = keys >> np.uint64(32)
             first = np.flatnonzero(np.diff(context, prepend=context[0] + np.uint64(1)))
             size = np.diff(first, append=len(keys))
@@ -219,6 +222,10 @@ def _count(level: int, prior: float):
             gain = np.add.reduceat(n * np.log(estimate / base), first)
             kept = (total >= LEAST) & (gain >= DIVERGENCE * total) & (gain >= EVIDENCE)
             codes += np.repeat(kept, size).astype(np.uint64)
+            mark = (keys & np.uint64(255)) == MARK
+            if mark.any():
+                evidence = np.add.reduceat(n * np.log((n + prior * base) / base), first)
+                codes[mark] = np.repeat(evidence, size)[mark].view(np.uint64)
         answers = [squeezed(np.ascontiguousarray(c)) for c in np.split(codes[place], ends[:-1])]
         names = ["group", "level", "bucket", "codes"]
         return pa.Table.from_arrays([asked.column("group"), pa.array([level] * len(ends), pa.int32()), asked.column("bucket"), pa.array(answers, pa.binary())], names=names)
@@ -226,10 +233,39 @@ def _count(level: int, prior: float):
     return run
 
 
+class Step(NamedTuple):
+    """Tokens whose context of one length was tried: their places, the contexts, whether these diverge, and the estimates in them."""
+
+    at: np.ndarray
+    context: np.ndarray
+    kept: np.ndarray
+    logp: np.ndarray
+
+
+class Hot:
+    """The contexts among tokens' contexts that were seen over HOT times, and the names of all parts of each."""
+
+    def __init__(self, context: np.ndarray, often: np.ndarray, parts: np.ndarray):
+        self.at = np.flatnonzero(often > HOT)
+        found, first, self.of = np.unique(context[self.at], return_index=True, return_inverse=True)
+        self.total, pieces = often[self.at][first], parts[self.at][first].astype(np.int64)
+        self.owner = np.repeat(np.arange(len(found)), pieces)
+        nth = np.arange(len(self.owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        self.part = mixed(found[self.owner] + nth.astype(np.uint64) * END)
+
+    def __bool__(self) -> bool:
+        return len(self.at) > 0
+
+    def test(self, kept: np.ndarray, evidence: np.ndarray, prior: float) -> None:
+        """Whether each of these contexts diverges, from what all its parts add to its evidence, into kept."""
+        gain = np.bincount(self.owner, evidence, len(self.total)) - self.total * np.log(self.total + prior)
+        kept[self.at] = ((gain >= DIVERGENCE * self.total) & (gain >= EVIDENCE))[self.of]
+
+
 class Group:
     """The texts of one group, and how far the answers bring their tokens' estimates."""
 
-    def __init__(self, state: pa.Table, answers: pa.Table, room: float, prior: float):
+    def __init__(self, state: pa.Table, answers: pa.Table, room: float, prior: float, gated: bool = True):
         one = {c: state.column(c)[0] for c in state.column_names}
         self.group, self.ids, self.held = one["group"].as_py(), one["ids"].values, one["held"].values
         self.sizes = one["sizes"].values.to_numpy()
@@ -237,14 +273,15 @@ class Group:
         size = int.from_bytes(raw[:8], "little")
         self.tokens = unpacked(pa.decompress(raw[8:], 4 * size, "zstd", asbytes=True), np.uint32)
         self.words = np.cumsum(unpacked(one["words"].as_py(), np.uint64), dtype=np.uint64)
-        self.prior, self.room = prior, room
+        self.prior, self.room, self.gated = prior, room, gated
         self.answers: dict[int, np.ndarray] = {}
         rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("level", "bucket", "codes")), strict=True))
         for level in {r[0] for r in rows}:
             self.answers[level] = np.concatenate([expanded(codes, np.uint64) for at, _, codes in rows if at == level])
 
-    def walk(self, depth: int, buckets: int) -> pa.Table | None:
-        """Goes from short contexts to long as far as there are answers; returns the requests of the next level, None at depth or where no context is left."""
+    def walk(self, depth: int, buckets: int, asking: int | None = None) -> pa.Table | None:
+        """Goes from short contexts to long as far as there are answers; returns the requests of the next level, None at depth or where no context is left. If growth isn't gated, the level behind depth tells
+        which contexts have a longer one in the tree; `asking` is the level whose requests are due."""
         counts = (self.answers[0] >> np.uint64(1)).astype(np.float64)
         self.known = counts[self.tokens] > 0
         self.logp = np.log2((counts + 1) / self.room)[self.tokens]
@@ -258,30 +295,61 @@ class Group:
         context = mixed(last)
         open_ = seen >= LEAST
         learned = np.repeat(~self.held.to_numpy(zero_copy_only=False).astype(bool), self.sizes)
+        steps: list[Step] = []
         for level in range(1, depth + 1):
             at = np.flatnonzero(open_)
             if not len(at):
-                return None
+                break
             word = self.words[self.tokens[at]]
             often = seen[at]
             parts = np.ceil(np.maximum(often / HOT, 1)).astype(np.uint64)
             part = mixed(context[at] + (word % parts) * END)
             bucket, key = home(part, buckets), (part << np.uint64(32)) | (word >> np.uint64(40) << np.uint64(8))
+            hot = Hot(context[at], often, parts) if not self.gated else None
+            if hot:
+                bucket, key = np.concatenate((bucket, home(hot.part, buckets))), np.concatenate((key, (hot.part << np.uint64(32)) | MARK))
             first, place = distinct(bucket, key)
             if level not in self.answers:
-                n = np.bincount(place[learned[at]], minlength=len(first)).astype(np.uint32)
-                bits = np.clip(np.round(self.logp[at[first]] * -STEPS), 0, 255).astype(np.uint8)
+                n = np.bincount(place[: len(at)][learned[at]], minlength=len(first)).astype(np.uint32)
+                bits = np.clip(np.round(np.concatenate((self.logp[at], np.zeros(len(key) - len(at))))[first] * -STEPS), 0, 255).astype(np.uint8)
                 return _requests(self.group, bucket[first], key[first], n, bits)
-            codes = self.answers[level][place]
+            codes = self.answers[level][place[: len(at)]]
             n = (codes >> np.uint64(1)).astype(np.float64)
-            kept = ((codes & np.uint64(1)) == 1) | (often > HOT)
-            on = at[kept]
-            self.logp[on] = np.log2((n[kept] + self.prior * np.exp2(self.logp[on])) / (often[kept] + self.prior))
-            self.level[on] = level
+            kept = (codes & np.uint64(1)) == 1
+            if hot:
+                hot.test(kept, self.answers[level][place[len(at) :]].view(np.float64), self.prior)
+            elif self.gated:
+                kept |= often > HOT
+            to = kept if self.gated else np.ones(len(at), bool)
+            on = at[to]
+            self.logp[on] = np.log2((n[to] + self.prior * np.exp2(self.logp[on])) / (often[to] + self.prior))
+            self.level[at[kept]] = level
+            if not self.gated:
+                steps.append(Step(at, context[at], kept, self.logp[at]))
             longer, after = mixed(context * np.uint64(3) + self.words[self.tokens]), np.zeros(len(seen))
             after[at] = n
             context, seen = np.concatenate((context[:1], longer[:-1])), np.concatenate(([0.0], after[:-1]))
-            open_ = (self.level == level) & inside & (seen >= LEAST)
+            open_ = inside & (seen >= LEAST) & ((self.level == level) | (not self.gated))
+        return None if self.gated else self._closed(steps, depth, buckets, asking)
+
+    def _closed(self, steps: list[Step], depth: int, buckets: int, asking: int | None) -> pa.Table | None:
+        """A context that doesn't diverge is in the tree as well if a longer one that ends in it is. Groups tell of the longer ones that they have, and hear of the others'."""
+        failed = [step.at[~step.kept] for step in steps[: depth - 1]]
+        name = np.concatenate([step.context[~step.kept] for step in steps[: depth - 1]] or [np.zeros(0, np.uint64)])
+        if len(name):
+            longer = np.concatenate([self.level[at] > k for k, at in enumerate(failed, 1)])
+            bucket = home(name, buckets)
+            first, place = distinct(bucket, name)
+            if depth + 1 not in self.answers:
+                n = (np.bincount(place[longer], minlength=len(first)) > 0).astype(np.uint32)
+                return _requests(self.group, bucket[first], name[first], n, np.zeros(len(first), np.uint8)) if asking in (None, depth + 1) else None
+            found = np.split(self.answers[depth + 1][place] > 0, np.cumsum([len(at) for at in failed])[:-1])
+            for k, (at, there) in enumerate(zip(failed, found, strict=True), 1):
+                self.level[at[there]] = np.maximum(self.level[at[there]], k)
+        self.logp = self.base.copy()
+        for k, step in enumerate(steps, 1):
+            chosen = self.level[step.at] == k
+            self.logp[step.at[chosen]] = step.logp[chosen]
         return None
 
     def scored(self) -> pa.Table:
@@ -292,19 +360,19 @@ class Group:
         return pa.Table.from_arrays(columns + logs, names=["doc_id", "held_out", "n_tokens", "n_known", "n_context", "base_score", "score"])
 
 
-def _asker(depth: int, buckets: int, room: float, prior: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _asker(depth: int, buckets: int, room: float, prior: float, gated: bool, asking: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     empty = pa.schema([("group", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("n", pa.binary()), ("bits", pa.binary())]).empty_table()
 
     def run(state: pa.Table, answers: pa.Table) -> pa.Table:
-        found = Group(state, answers, room, prior).walk(depth, buckets)
+        found = Group(state, answers, room, prior, gated).walk(depth, buckets, asking)
         return empty if found is None else found
 
     return run
 
 
-def _scorer(depth: int, buckets: int, room: float, prior: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _scorer(depth: int, buckets: int, room: float, prior: float, gated: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(state: pa.Table, answers: pa.Table) -> pa.Table:
-        group = Group(state, answers, room, prior)
+        group = Group(state, answers, room, prior, gated)
         group.walk(depth, buckets)
         return group.scored()
 
@@ -313,12 +381,13 @@ def _scorer(depth: int, buckets: int, room: float, prior: float) -> Callable[[pa
 
 def score(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = 7, held_out: int = 2, depth: int = DEPTH, prior: float = PRIOR, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES,
+    gated: bool = True,
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_context) of every row.
 
-    Learns from the rows whose crc32(doc_id as text) modulo divisor is not held_out. The tree's contexts are the last one to `depth` tokens. A context is in the tree if it was seen LEAST times, its suffix is in the
-    tree, and its next-token counts diverge from the suffix's estimates by DIVERGENCE a token and by EVIDENCE in all; these are numbers of occurrences, not shares, so the tree grows with the
-    corpus. The root's estimates are the base's; a context's are its counts, smoothed by `prior` occurrences of its suffix's estimate. A token has the estimate of the longest context in the tree; score is the sum of
+    Learns from the rows whose crc32(doc_id as text) modulo divisor is not held_out. The tree's contexts are the last one to `depth` tokens. Every context that was seen LEAST times is tried, whether or not its suffix
+    diverges. It is in the tree if its next-token counts diverge from the suffix's estimates by DIVERGENCE a token and by EVIDENCE in all, or if a longer one that ends in it is; so all suffixes of a context in the tree
+    are in it too. With `gated`, a context is tried only if its suffix diverges, and one seen over HOT times is in the tree untested. These are numbers of occurrences, not shares, so the tree grows with the corpus. The root's estimates are the base's; a context's are its counts, smoothed by `prior` occurrences of its suffix's estimate. A token has the estimate of the longest context in the tree; score is the sum of
     log10 over the tokens, and n_context the number of tokens with a context in the tree.
 
     Texts are packed into groups where they are read. Level by level, each group sends its distinct pairs of context and token, with their counts, to the buckets of the contexts; a bucket adds them up, tests
@@ -339,11 +408,12 @@ def score(
     state = state.repartition("group")
     asked = state.mapInArrow(_ask_words(buckets), REQUEST)
     answers: DataFrame | None = None
-    for level in range(depth + 1):
-        found = asked.groupBy("bucket").applyInArrow(_count(level, prior), ANSWER).repartition("group")
+    last = depth if gated or depth < 2 else depth + 1
+    for level in range(last + 1):
+        found = asked.groupBy("bucket").applyInArrow(_count(level, prior, level <= depth), ANSWER).repartition("group")
         answers = found if answers is None else answers.unionByName(found)
         both = state.groupBy("group").cogroup(answers.groupBy("group"))
-        if level < depth:
-            asked = both.applyInArrow(_asker(depth, buckets, room, prior), REQUEST)
-    rows = both.applyInArrow(_scorer(depth, buckets, room, prior), SCORED)
+        if level < last:
+            asked = both.applyInArrow(_asker(depth, buckets, room, prior, gated, level + 1), REQUEST)
+    rows = both.applyInArrow(_scorer(depth, buckets, room, prior, gated), SCORED)
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "n_context")

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 import zlib
@@ -174,3 +175,94 @@ def test_words_and_their_hashes():
     finally:
         st.PIECE = st_piece
     assert all((a == b).all() for a, b in zip(parts, again))
+
+
+def plain_whole(rows, depth):
+    """The tree of every context that is seen often enough and diverges from its suffix, with all suffixes of those; scores of rows."""
+    texts = [(i, held(i), ["END", *plain_tokens(t)]) for i, t in rows]
+    counts = Counter(w for _, out, ws in texts if not out for w in ws[1:])
+    room = sum(counts.values()) + len(counts) + 1
+    after = defaultdict(Counter)
+    for _, out, ws in texts:
+        for t in range(1, len(ws) if not out else 0):
+            for d in range(1, min(depth, t) + 1):
+                after[tuple(ws[t - d : t])][ws[t]] += 1
+    total = {c: sum(f.values()) for c, f in after.items()}
+
+    def estimate(context, w):
+        return (after[context][w] + st.PRIOR * estimate(context[1:], w)) / (total[context] + st.PRIOR) if context else (counts[w] + 1) / room
+
+    tree, alone = set(), 0
+    for context, follow in after.items():
+        if total[context] >= st.LEAST:
+            gain = 0.0
+            for w, c in follow.items():
+                base = 2.0 ** (-min(255, round(-math.log2(estimate(context[1:], w)) * st.STEPS)) / st.STEPS)
+                gain += c * math.log((c + st.PRIOR * base) / (total[context] + st.PRIOR) / base)
+            if gain >= max(st.DIVERGENCE * total[context], st.EVIDENCE):
+                tree |= {context[k:] for k in range(len(context))}
+    out = []
+    for i, _, ws in texts:
+        found = [next((c for d in range(min(depth, t), 0, -1) if (c := tuple(ws[t - d : t])) in tree), ()) for t in range(1, len(ws))]
+        out.append((i, sum(math.log10(estimate(c, w)) for c, w in zip(found, ws[1:])), sum(map(bool, found))))
+    return out, tree
+
+
+def xor_corpus():
+    """Each word is mostly decided by the two before it together, and by neither of them alone."""
+    rnd = random.Random(5)
+    rows = []
+    for i in range(60):
+        bits = [rnd.randrange(2), rnd.randrange(2)]
+        for _ in range(400):
+            bits.append(bits[-1] ^ bits[-2] ^ (rnd.random() < 0.1))
+        rows.append((i, " ".join("pq"[b] for b in bits)))
+    return rows
+
+
+@pytest.mark.parametrize(("made", "depth", "hot"), [(corpus, 2, 1 << 20), (corpus, 3, 1 << 20), (corpus, 3, 60), (xor_corpus, 1, 100), (xor_corpus, 2, 1 << 20), (xor_corpus, 2, 100)])
+def test_every_context_is_tried(spark, monkeypatch, made, depth, hot):
+    """Whether a context's suffix diverges decides nothing, nor does it how often it was seen."""
+    rows = [r for r in {i: (i, t) for i, t in made()}.values() if r[0] is not None]
+    want, tree = plain_whole(rows, depth)
+    if made is xor_corpus:
+        assert tree == (set() if depth == 1 else {c for n in (1, 2) for c in itertools.product((b"p", b"q"), repeat=n)})
+    if hot == 1 << 20:
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = {r.doc_id: (r.score, r.n_context) for r in st.score(frame, depth=depth, group_bytes=4000, bucket_bytes=8000, gated=False).collect()}
+    else:
+        monkeypatch.setattr(st, "HOT", hot)
+        got = whole_local([(i, held(i), t) for i, t in rows], depth, 7)
+    for i, score, deep in want:
+        assert got[i] == (pytest.approx(score, abs=1e-6), deep)
+
+
+def whole_local(rows, depth, buckets):
+    """The rounds of three groups without Spark."""
+    import pyarrow as pa
+
+    batch = lambda part: pa.RecordBatch.from_pylist([{"id": i, "held_out": out, "text": t} for i, out, t in part], pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string())]))
+    states = []
+    for k in range(3):
+        (table,) = list(packed_states(batch(rows[k::3])))
+        states.append(table.set_column(0, "group", pa.array([k], pa.int64())))
+    asked = pa.concat_tables([pa.Table.from_batches(st._ask_words(buckets)(iter(s.to_batches()))) for s in states])
+    words, n, *_ = st._summed(asked)
+    room, answers = float(n.sum() + (n > 0).sum() + 1), []
+    for level in range(depth + 2):
+        for bucket in sorted(set(asked.column("bucket").to_pylist())):
+            answers.append(st._count(level, st.PRIOR, level <= depth)(asked.filter(pa.compute.equal(asked.column("bucket"), bucket))))
+        got = pa.concat_tables(answers)
+        groups = [st.Group(s, got.filter(pa.compute.equal(got.column("group"), k)), room, st.PRIOR, False) for k, s in enumerate(states)]
+        found = [f for g in groups if (f := g.walk(depth, buckets, level + 1)) is not None]
+        asked = pa.concat_tables(found) if found else asked.slice(0, 0)
+    return {r["doc_id"]: (r["score"], r["n_context"]) for g in groups for r in g.scored().to_pylist()}
+
+
+def packed_states(batch):
+    from unittest import mock
+
+    import pyarrow as pa
+
+    with mock.patch.object(st.TaskContext, "get", lambda: mock.Mock(partitionId=lambda: 0)):
+        yield from (pa.Table.from_batches([b]) for b in st._pack_groups(1 << 30)(iter([batch])))
