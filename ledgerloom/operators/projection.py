@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.numbers import parse_number
@@ -138,10 +138,10 @@ def schema_groups(documents: DataFrame, most: int = 10, kind: str = "schema_type
 
 
 def distinct_items(items: DataFrame, key: str, number: str, data: str) -> DataFrame:
-    """Items of a document without those whose data an earlier one has, whatever the order of its fields."""
+    """Items of a document without those whose data an earlier one has, whatever the order of its fields. Items are dealt by document; if they are already, nothing is shuffled."""
     rows = items.withColumn("_sorted", F.array_sort(F.map_entries(data)))
-    first = rows.groupBy(key, "_sorted").agg(F.min(number).alias(number))
-    return rows.join(first, [key, "_sorted", number], "left_semi").select(items.columns)
+    first = F.min(number).over(Window.partitionBy(key, "_sorted"))
+    return rows.withColumn("_first", first).where(F.col(number) == F.col("_first")).select(items.columns)
 
 
 def without_repeats(rows: DataFrame, page: str, at: str, category: str, text: str, box: str, most: int = 5) -> DataFrame:

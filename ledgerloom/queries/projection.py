@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import projection as J
 from ledgerloom.registry import query
-from ledgerloom.tables import table
+from ledgerloom.tables import dealt, table
 
 
 def _map(**fields):
@@ -94,7 +94,8 @@ def schemas_with_common_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def distinct_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order without those that are like an earlier one."""
     c = F.col
-    first = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(c("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    lines = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber"), "l_orderkey")
+    first = lines.join(table(spark, sf_dir, "orders").select(c("o_orderkey").alias("l_orderkey")), "l_orderkey")  # a semi-join would be moved in front of the dealing
     once = first.groupBy("l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber").count()
     data = F.create_map(F.lit("flag"), c("l_returnflag"), F.lit("state"), c("l_linestatus"))
     found = J.distinct_items(once.select(c("l_orderkey").alias("document_id"), c("l_linenumber").alias("line_number"), data.alias("data")), "document_id", "line_number", "data")

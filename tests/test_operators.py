@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, names, numbers, scoring
-from ledgerloom.operators import access, analytics, entities, fields, graph, queue, retrieval
+from ledgerloom.operators import access, analytics, entities, fields, graph, projection, queue, retrieval
 from ledgerloom.operators import text as texts
 from ledgerloom.plans import phrases
 from ledgerloom.sources import files
@@ -267,3 +267,11 @@ def test_tabular_texts_of_amounts(spark, tmp_path):
     found = tabular_documents(spark, str(tmp_path))
     assert {r.doc_id: r.reason for r in found.collect()} == {1: "line_items", 3: "transaction_list"}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("markdown_table") == 1  # the reason is found once
+
+
+def test_distinct_items_of_any_document_are_dealt_once(spark):
+    rows = [(1, 1, {"a": "x", "b": "y"}), (1, 2, {"b": "y", "a": "x"}), (1, 3, {"a": "x"}), (2, 1, {"a": "x"}), (None, 1, {"a": "x"}), (None, 2, {"a": "x"}), (3, 4, None), (3, 5, None)]
+    items = spark.createDataFrame(rows, "document_id long, line_number int, data map<string,string>")
+    found = projection.distinct_items(items.repartition(5, "document_id"), "document_id", "line_number", "data")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {(r.document_id, r.line_number) for r in found.collect()} == {(1, 1), (1, 3), (2, 1), (None, 1), (3, 4)}
