@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scoring import cosine, tokens
-from ledgerloom.operators.access import covered
 from ledgerloom.operators.analytics import ranked_once
+from ledgerloom.operators.nearest import nearest
 
 # Defaults of searches, shares of a context, and thresholds and lives (seconds) of cached answers by kind of question.
 TAKE, FETCH, BALANCE = 18, 50, 0.5
@@ -25,8 +25,6 @@ CACHE_SECONDS = {"factual": 7 * 86400, "analytics": 3600, "summary": 86400, "def
 FEEDBACK, LEAST_CONFIDENCE, MOST_COMPLAINTS = 0.25, 0.5, 3
 # The score from which a search by meaning is enough, and that of a hit by fields.
 ENOUGH, FIELD_SCORE = 0.7, 0.7
-#: Parts of the entries of a workspace.
-CACHE_PARTS = 16
 
 
 def scored(chunks: DataFrame, query: Sequence[float], vector: str = "embedding") -> DataFrame:
@@ -155,17 +153,13 @@ def cache_hits(questions: DataFrame, cache: DataFrame, now: Column) -> DataFrame
     """(question_id, entry_id, score): for each question, the best entry of its workspace that is valid, not expired, of the same intent, near enough, and made of documents that the asker may read.
 
     questions: question_id, workspace_id, intent, embedding, allowed. cache: entry_id, workspace_id, intent, embedding, source_ids, expires_at, is_valid.
-    The join is on workspace and intent; a workspace's entries are dealt over CACHE_PARTS parts, each of which brings its best entry of a question.
+    No pair of a question and an entry is a row; see `nearest`.
     """
     least = F.lit(CACHE_LEAST["default"])
     for name, x in CACHE_LEAST.items():
         least = F.when(F.col("intent") == name, x).otherwise(least)
-    entries = cache.where(F.col("is_valid") & (F.col("expires_at") > now)).withColumnRenamed("embedding", "entry_embedding")
-    entries = entries.withColumn("part", F.pmod(F.xxhash64("entry_id"), F.lit(CACHE_PARTS)).cast("int"))
-    asked = questions.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(CACHE_PARTS - 1))))
-    pairs = asked.join(entries, ["workspace_id", "intent", "part"]).withColumn("score", cosine(F.col("embedding"), F.col("entry_embedding")))
-    fit = pairs.where((F.col("score") >= least) & covered(F.col("source_ids"), F.col("allowed")))
-    return ranked_once(fit.select("question_id", "entry_id", "score"), ["question_id"], [F.desc("score"), F.col("entry_id")])
+    entries = cache.where(F.col("is_valid") & (F.col("expires_at") > now))
+    return ranked_once(nearest(questions, entries, ["workspace_id", "intent"], least), ["question_id"], [F.desc("score"), F.asc_nulls_last("entry_id")])
 
 
 def expiry(intent: Column, now: Column) -> Column:

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, names, numbers, scoring
-from ledgerloom.operators import access, analytics, entities, fields, graph, projection, queue, retrieval
+from ledgerloom.operators import access, analytics, entities, fields, graph, nearest, projection, queue, retrieval
 from ledgerloom.operators import text as texts
 from ledgerloom.plans import phrases
 from ledgerloom.sources import files
@@ -120,6 +120,35 @@ def test_cache(spark):
     assert {r.entry_id: r.is_valid for r in retrieval.complained(cache, told).collect()} == {1: True, 2: False}
 
 
+def test_cached_answers_are_the_best_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "PART", 40)
+    monkeypatch.setattr(nearest, "BAND", 30)
+    rnd = np.random.default_rng(5)
+    base = rnd.standard_normal((12, 6))
+    odd = [None, [], [0.0] * 6, [1.0, None, 0.0, 0.0, 0.0, 0.0], [float("nan")] + [1.0] * 5, [float("inf")] + [0.0] * 5, [1e-170] * 6, [1e170] * 6, [1.0, 2.0]]
+
+    def vector(i):
+        if i % 17 == 0:
+            return odd[i // 17 % len(odd)]
+        x = base[rnd.integers(12)]
+        return list(map(float, (x, x * rnd.integers(1, 9), x + rnd.standard_normal(6) * 1e-9, x + rnd.standard_normal(6) * 0.1, rnd.standard_normal(6))[i % 5]))
+
+    where = lambda i: ("wv"[i % 3 == 0] if i % 40 else None, ("factual", "summary", "other")[i % 4 % 3])
+    late = lambda i: datetime(2020 if i % 19 == 0 else 2030, 1, 1)
+    cache = spark.createDataFrame([(i if i % 11 else None, *where(i), vector(i), [str(i % 3), None][: 1 + (i % 7 == 0)], late(i), i % 23 > 0) for i in rnd.permutation(700).tolist()], "entry_id long, workspace_id string, intent string, embedding array<double>, source_ids array<string>, expires_at timestamp, is_valid boolean")
+    asked = spark.createDataFrame([(f"q{i}", *where(i), vector(i), [["0", "1", None], ["2"], [], None][i % 4]) for i in range(300)], "question_id string, workspace_id string, intent string, embedding array<double>, allowed array<string>")
+    now = F.lit("2026-01-01").cast("timestamp")
+    hits = retrieval.cache_hits(asked, cache, now)
+    assert "Join" not in hits._jdf.queryExecution().toString()  # a join would make a row of every pair
+
+    held = cache.where("is_valid").where(F.col("expires_at") > now).withColumnRenamed("embedding", "other")
+    least = F.when(F.col("intent") == "factual", 0.92).when(F.col("intent") == "summary", 0.88).otherwise(0.90)
+    pairs = asked.join(held, ["workspace_id", "intent"]).withColumn("score", scoring.cosine(F.col("embedding"), F.col("other"))).where((F.col("score") >= least) & access.covered(F.col("source_ids"), F.col("allowed")))
+    want = analytics.ranked_once(pairs.select("question_id", "entry_id", "score"), ["question_id"], [F.desc("score"), F.asc_nulls_last("entry_id")])
+    rows = lambda df: sorted((r.question_id, repr(r.entry_id), repr(r.score)) for r in df.collect())
+    assert rows(hits) == rows(want) and hits.count() > 50 and {"nan"} < {s for *_, s in rows(hits)}
+
+
 def test_graph(spark):
     out = spark.createDataFrame([("c1", "d1", "(entity|org|Acme|Makes tools|80)\n(relationship|Acme|Bolt|sells|trade, parts|2)\nnoise\n(entity|org|Acme)"), ("c2", "d2", "(entity|ORG|acme |Makes|x)\n(relationship|Bolt|Acme|buys|parts|y)")], "chunk_id string, document_id string, text string")
     lines = graph.lines(out)
